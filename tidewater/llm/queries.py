@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .simhash import op5_simhash
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_byte_bpe": op6_byte_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe}
 ORACLE = {"op1_line_dedup": OP1_SQL}
