@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .bit_sliced import OP2_SQL, op2_bit_sliced_topk
 from .byte_bpe import op6_byte_bpe
+from .ivf_pq import op9_ivf_pq
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .simhash import op5_simhash
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe}
-ORACLE = {"op1_line_dedup": OP1_SQL}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_bit_sliced_topk": op2_bit_sliced_topk,
+    "op5_simhash": op5_simhash,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_ivf_pq": op9_ivf_pq,
+}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op2_bit_sliced_topk": OP2_SQL}
