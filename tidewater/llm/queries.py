@@ -7,12 +7,14 @@ from .byte_bpe import op6_byte_bpe
 from .ivf_pq import op9_ivf_pq
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .simhash import op5_simhash
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ivf_pq": op9_ivf_pq,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op2_bit_sliced_topk": OP2_SQL}
