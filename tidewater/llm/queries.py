@@ -5,16 +5,20 @@ from __future__ import annotations
 from .bit_sliced import OP2_SQL, op2_bit_sliced_topk
 from .byte_bpe import op6_byte_bpe
 from .ivf_pq import op9_ivf_pq
+from .licenses import OP7_SQL, op7_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .simhash import op5_simhash
 from .suffix_dedup import op8_suffix_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ivf_pq": op9_ivf_pq,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op2_bit_sliced_topk": OP2_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op2_bit_sliced_topk": OP2_SQL, "op7_license_scan": OP7_SQL}

@@ -28,26 +28,21 @@ extra columns are ignored; an empty table gives an empty result. Long texts are
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ints, keyed, real_id, shared_dir, shuffle_partitions, table, utf8, written
+from .blocks import MESSAGES, PAD, A, Buckets, answers, arrays, joined, message, messages, packed, part_of, planes, rows, runs, values
+from .common import NULL_ID, real_id, table, written
 
 #: Bytes of a q-gram; bytes of text in a block; bytes of text a part; suffixes of a bucket compared in one group.
 Q, BLOCK_BYTES, PART_BYTES, HOT = 24, 4 << 20, 2 << 20, 4096
 #: Positions handled at a time.
 CHUNK = 1 << 17
-#: Stands between texts; no UTF-8 text holds this byte.
-PAD = 0xFF
-
-MESSAGES = "part long, block long, body binary"
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+B = np.uint64(0xD6E8FEB86659FD93)
 
 
 # -- names
@@ -106,71 +101,9 @@ def chosen(data: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarr
     return at[new], name[new]
 
 
-def _part(name: np.ndarray, parts: int) -> np.ndarray:
-    mixed = (name ^ (name >> np.uint64(32))) * A
-    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Byte planes, which compress well where values are small."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _values(body: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _runs(sorted_: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    new = np.ones(len(sorted_), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    return np.nonzero(new)[0]
-
-
 # -- blocks
 
 
-BLOCKS = "block long, n_bytes long, data binary, dk binary, start binary, size binary"
-
-
-def _pack(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad, number, held, keys, total = bytes([PAD]) * length, 0, [], [], 0
-
-        def block() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in held], np.int64)
-            starts = length + np.concatenate([[0], np.cumsum(sizes + length)])[:-1]
-            name = TaskContext.get().partitionId() << 32 | number
-            cells = [pad + b"".join(x for t in held for x in (t, pad)), np.array(keys, np.int64).tobytes(), starts.tobytes(), sizes.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total]), *(pa.array([c], pa.binary()) for c in cells)], ["block", "n_bytes", "data", "dk", "start", "size"])
-
-        for batch in batches:
-            body, at = utf8(batch.column("text"))
-            dk = ints(batch.column("dk"))
-            for i in range(batch.num_rows):
-                if held and total + at[i + 1] - at[i] > BLOCK_BYTES:
-                    yield block()
-                    number, held, keys, total = number + 1, [], [], 0
-                held.append(body[at[i] : at[i + 1]].tobytes())
-                keys.append(dk[i])
-                total += int(at[i + 1] - at[i])
-        if held:
-            yield block()
-
-    return run
-
-
-def packed(docs: DataFrame, length: int) -> DataFrame:
-    """The texts as a table of blocks, bucketed on the block's number."""
-    spark = docs.sparkSession
-    name = f"tidewater_blocks_{uuid.uuid4().hex}"
-    blocks = keyed(docs).mapInArrow(_pack(length), BLOCKS)
-    path = f"{shared_dir(spark)}/tidewater/{name}"
-    blocks.write.bucketBy(shuffle_partitions(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 class Block:
     """A block's bytes, its rows, and the suffixes chosen in it."""
 
@@ -206,78 +139,24 @@ class Block:
         return out
 
 
-class Buckets:
-    """Names of a block, distinct and ordered by part: what is sent, and where answers belong."""
-
-    def __init__(self, name: np.ndarray, parts: int):
-        part = _part(name, parts)
-        order = np.lexsort((name, part))
-        first = _runs(name[order]) if len(name) else np.empty(0, np.int64)
-        self.name = name[order][first]
-        self.part = part[order][first]
-        self.count = np.diff(np.append(first, len(name))).astype(np.uint32)
-        self.of = np.empty(len(name), np.int64)  # each given name's place among the distinct ones
-        self.of[order] = np.repeat(np.arange(len(first)), self.count)
-        self.order, self.first = order, first
-
-    def least(self, values: np.ndarray) -> np.ndarray:
-        return np.minimum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
-
-    def slices(self) -> Iterator[tuple[int, slice]]:
-        edges = np.append(_runs(self.part), len(self.part)) if len(self.part) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield int(self.part[a]), slice(a, b)
-
-    def answered(self, answers: dict[int, bytes], kind) -> np.ndarray:
-        """The answers in this order; 0 where there is none."""
-        out = np.zeros(len(self.name), kind)
-        for part, where in self.slices():
-            if part in answers:
-                out[where] = _values(answers[part], kind)
-        return out
-
-
-def _message(part: int, block: int, *arrays: np.ndarray) -> tuple[int, int, bytes]:
-    return part, block, np.int64(len(arrays[0])).tobytes() + b"".join(map(_planes, arrays))
-
-
-def _arrays(body: bytes, *kinds) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(body, np.int64, 1)[0]), 8, []
-    for kind in kinds:
-        size = n * np.dtype(kind).itemsize
-        out.append(_values(body[at : at + size], kind) if n else np.empty(0, kind))
-        at += size
-    return out
-
-
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, block, body = map(list, zip(*rows)) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(body, pa.binary())], ["part", "block", "body"])
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
-
-
 # -- round 1: how many suffixes has each q-gram's bucket?
 
 
 def _ask_grams(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows(batch):
                 block = Block(row, length)
                 buckets = Buckets(block.suffixes()[1], parts)
                 # Within a part 32 bits tell buckets apart well enough: this round only filters.
-                yield _batch([_message(p, block.number, buckets.name[s].astype(np.uint32), buckets.count[s]) for p, s in buckets.slices()])
+                yield messages([message(p, block.number, buckets.name[s].astype(np.uint32), buckets.count[s]) for p, s in buckets.slices()])
 
     return run
 
 
 def _answer_grams(group: pa.Table) -> pa.Table:
     """The size of every bucket, 0 for those of a single suffix."""
-    got = [_arrays(b, np.uint32, np.uint32) for b in group.column("body").to_pylist()]
+    got = [arrays(b, np.uint32, np.uint32) for b in group.column("body").to_pylist()]
     found, of = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
     total = np.bincount(of, weights=np.concatenate([n for _, n in got]), minlength=len(found)).astype(np.uint32)
     total[total < 2] = 0
@@ -286,8 +165,8 @@ def _answer_grams(group: pa.Table) -> pa.Table:
         mine = total[of[at : at + len(keys)]]
         at += len(keys)
         if mine.any():
-            out.append((part, block, _planes(mine)))
-    return pa.Table.from_batches([_batch(out)])
+            out.append((part, block, planes(mine)))
+    return pa.Table.from_batches([messages(out)])
 
 
 # -- round 2: which is the least document of each context?
@@ -306,18 +185,18 @@ def _refined(block: Block, parts: int, answers: dict[int, bytes]):
 def _ask_contexts(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows(batch):
                 block = Block(row, length)
-                at, _, _, contexts = _refined(block, parts, _answers(row, 1))
+                at, _, _, contexts = _refined(block, parts, answers(row, 1))
                 least = contexts.least(block.owner(at))
-                yield _batch([_message(p, block.number, contexts.name[s], least[s], contexts.count[s]) for p, s in contexts.slices()])
+                yield messages([message(p, block.number, contexts.name[s], least[s], contexts.count[s]) for p, s in contexts.slices()])
 
     return run
 
 
 def _answer_contexts(group: pa.Table) -> pa.Table:
     """Each context's least document and number of suffixes, as (document, number) pairs."""
-    got = [_arrays(b, np.uint64, np.int64, np.uint32) for b in group.column("body").to_pylist()]
+    got = [arrays(b, np.uint64, np.int64, np.uint32) for b in group.column("body").to_pylist()]
     name, dk, count = map(np.concatenate, zip(*got))
     found, of = np.unique(name, return_inverse=True)
     total = np.bincount(of, weights=count, minlength=len(found)).astype(np.int64)
@@ -327,8 +206,8 @@ def _answer_contexts(group: pa.Table) -> pa.Table:
     for block, (keys, _, _) in zip(group.column("block").to_pylist(), got):
         mine = of[at : at + len(keys)]
         at += len(keys)
-        out.append((part, block, _planes(np.stack([least[mine], total[mine]], axis=1).view("V16").ravel())))
-    return pa.Table.from_batches([_batch(out)])
+        out.append((part, block, planes(np.stack([least[mine], total[mine]], axis=1).view("V16").ravel())))
+    return pa.Table.from_batches([messages(out)])
 
 
 # -- round 3: which windows start in a smaller document?
@@ -340,10 +219,10 @@ class Questions:
     def __init__(self, block: Block, at: np.ndarray, bucket: np.ndarray, hot: np.ndarray, parts: int):
         self.block, self.parts, self.at, self.hot = block, parts, at, hot
         cold = at[~hot]
-        part, context = _part(bucket[~hot], parts), block.context_names(cold)
+        part, context = part_of(bucket[~hot], parts), block.context_names(cold)
         self.order = np.lexsort((context, part))
         # Equal contexts of one document are asked once.
-        self.first = _runs(context[self.order])
+        self.first = runs(context[self.order])
         self.group = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(cold))))
         self.cold, self.part = cold, part[self.order][self.first]
         wide = block.contexts(at[hot])
@@ -354,7 +233,7 @@ class Questions:
 
     def messages(self) -> Iterator[tuple[int, int, bytes]]:
         block, asked = self.block, self.cold[self.order][self.first]
-        edges = np.append(_runs(self.part), len(self.part)) if len(self.part) else np.zeros(1, int)
+        edges = np.append(runs(self.part), len(self.part)) if len(self.part) else np.zeros(1, int)
         for a, b in zip(edges[:-1], edges[1:]):
             some = asked[a:b]
             yield int(self.part[a]), block.number, np.int64(b - a).tobytes() + block.owner(some).tobytes() + block.contexts(some).tobytes()
@@ -362,13 +241,13 @@ class Questions:
             dk = np.broadcast_to(block.owner(self.at[self.hot])[:, None], self.shape)[self.valid]
             least = self.windows.least(dk)
             for p, s in self.windows.slices():
-                yield _message(self.parts + p, block.number, self.windows.name[s], least[s])
+                yield message(self.parts + p, block.number, self.windows.name[s], least[s])
 
     def starts(self, answers: dict[int, bytes]) -> np.ndarray:
         """Positions at which a window starts that a smaller document has too."""
         block, out = self.block, []
         flags = np.zeros(len(self.part), np.uint64)
-        edges = np.append(_runs(self.part), len(self.part)) if len(self.part) else np.zeros(1, int)
+        edges = np.append(runs(self.part), len(self.part)) if len(self.part) else np.zeros(1, int)
         for a, b in zip(edges[:-1], edges[1:]):
             if int(self.part[a]) in answers:
                 flags[a:b] = np.frombuffer(answers[int(self.part[a])], np.uint64)
@@ -396,21 +275,21 @@ def _no_pad(wide: np.ndarray, length: int) -> np.ndarray:
 def _ask_windows(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows(batch):
                 block = Block(row, length)
-                at, name, size, contexts = _refined(block, parts, _answers(row, 1))
-                told = contexts.answered(_answers(row, 2), "V16").view(np.int64).reshape(-1, 2)
+                at, name, size, contexts = _refined(block, parts, answers(row, 1))
+                told = contexts.answered(answers(row, 2), "V16").view(np.int64).reshape(-1, 2)
                 least, total = told[contexts.of].T if len(at) else (at, at)
                 settled = least < block.owner(at)
                 # A context that isn't its whole bucket may share some windows with the others.
                 open_ = ~settled & (total < size)
-                yield _batch([(-1, block.number, _state(at[settled], at[open_], name[open_], size[open_] > HOT)), *Questions(block, at[open_], name[open_], size[open_] > HOT, parts).messages()])
+                yield messages([(-1, block.number, _state(at[settled], at[open_], name[open_], size[open_] > HOT)), *Questions(block, at[open_], name[open_], size[open_] > HOT, parts).messages()])
 
     return run
 
 
 def _state(settled: np.ndarray, *open_: np.ndarray) -> bytes:
-    return np.array([len(settled), len(open_[0])], np.int64).tobytes() + _planes(np.diff(settled, prepend=0)) + b"".join(_planes(x) for x in open_)
+    return np.array([len(settled), len(open_[0])], np.int64).tobytes() + planes(np.diff(settled, prepend=0)) + b"".join(planes(x) for x in open_)
 
 
 def _known(body: bytes) -> list[np.ndarray]:
@@ -418,7 +297,7 @@ def _known(body: bytes) -> list[np.ndarray]:
     out, at = [], 16
     for count, kind in ((n, np.int64), (m, np.int64), (m, np.uint64), (m, np.bool_)):
         size = count * np.dtype(kind).itemsize
-        out.append(_values(body[at : at + size], kind) if count else np.empty(0, kind))
+        out.append(values(body[at : at + size], kind) if count else np.empty(0, kind))
         at += size
     return [np.cumsum(out[0]), *out[1:]]
 
@@ -429,15 +308,15 @@ def _answer_windows(length: int, parts: int):
         blocks, bodies = group.column("block").to_pylist(), group.column("body").to_pylist()
         out, at = [], 0
         if part >= parts:
-            got = [_arrays(b, np.uint64, np.int64) for b in bodies]
+            got = [arrays(b, np.uint64, np.int64) for b in bodies]
             name, dk = map(np.concatenate, zip(*got))
             found, of = np.unique(name, return_inverse=True)
             least = np.full(len(found), np.iinfo(np.int64).max)
             np.minimum.at(least, of, dk)
             for block, (keys, _) in zip(blocks, got):
-                out.append((part, block, _planes(least[of[at : at + len(keys)]])))
+                out.append((part, block, planes(least[of[at : at + len(keys)]])))
                 at += len(keys)
-            return pa.Table.from_batches([_batch(out)])
+            return pa.Table.from_batches([messages(out)])
         width = 2 * length - Q
         counts = [int(np.frombuffer(b, np.int64, 1)[0]) for b in bodies]
         dk = np.concatenate([np.frombuffer(b, np.int64, n, 8) for b, n in zip(bodies, counts)])
@@ -446,7 +325,7 @@ def _answer_windows(length: int, parts: int):
         valid, name = _no_pad(wide, length), names(wide, length)
         for shift in range(length - Q + 1):
             order = np.argsort(name[:, shift], kind="stable")
-            first = _runs(name[order, shift])
+            first = runs(name[order, shift])
             least = np.repeat(np.minimum.reduceat(dk[order], first), np.diff(np.append(first, len(dk))))
             hit = np.empty(len(dk), bool)
             hit[order] = least < dk[order]
@@ -455,32 +334,19 @@ def _answer_windows(length: int, parts: int):
             if flags[at : at + n].any():
                 out.append((part, block, flags[at : at + n].tobytes()))
             at += n
-        return pa.Table.from_batches([_batch(out)])
+        return pa.Table.from_batches([messages(out)])
 
     return run
 
 
-# -- answers
-
-
-def _answers(row: dict, number: int) -> dict[int, bytes]:
-    return {x["part"]: x["body"] for x in row["told"] or [] if x["round"] == number}
-
-
-def _joined(blocks: DataFrame, *rounds: DataFrame, first: int = 1) -> DataFrame:
-    """blocks with what each round told them; the bucketed side doesn't move."""
-    told = None
-    for number, answers in enumerate(rounds, first):
-        some = answers.select("block", F.struct(F.lit(number).alias("round"), "part", "body").alias("x"))
-        told = some if told is None else told.unionByName(some)
-    return blocks.join(told.groupBy("block").agg(F.collect_list("x").alias("told")).hint("shuffle_hash"), "block", "left")
+# -- results
 
 
 def _result(length: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
-                block, told = Block(row, length), _answers(row, 3)
+            for row in rows(batch):
+                block, told = Block(row, length), answers(row, 3)
                 settled, at, name, hot = _known(told.pop(-1)) if -1 in told else _known(bytes(16))
                 parts = row["parts"]
                 starts = Questions(block, at, name, hot, parts).starts(told)
@@ -511,18 +377,18 @@ def without_repeats(docs: DataFrame, length: int = 50, digest: bool = False) ->
     """
     if not 32 <= length <= 87:
         raise ValueError("length must lie between 32 and 87")
-    blocks = packed(docs, length)
+    blocks = packed(docs, length, BLOCK_BYTES)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, int(total) // PART_BYTES)
     body = blocks.select("block", "data", "dk", "start", "size")
     asked = body.mapInArrow(_ask_grams(length, parts), MESSAGES)
     grams = written(asked.groupBy("part").applyInArrow(_answer_grams, MESSAGES))
-    asked = _joined(body, grams).mapInArrow(_ask_contexts(length, parts), MESSAGES)
+    asked = joined(body, grams).mapInArrow(_ask_contexts(length, parts), MESSAGES)
     contexts = written(asked.groupBy("part").applyInArrow(_answer_contexts, MESSAGES))
-    asked = written(_joined(body, grams, contexts).mapInArrow(_ask_windows(length, parts), MESSAGES))
+    asked = written(joined(body, grams, contexts).mapInArrow(_ask_windows(length, parts), MESSAGES))
     windows = asked.where("part >= 0").groupBy("part").applyInArrow(_answer_windows(length, parts), MESSAGES)
     last = asked.where("part < 0").unionByName(windows)
-    told = _joined(body, last, first=3).withColumn("parts", F.lit(parts))
+    told = joined(body, last, first=3).withColumn("parts", F.lit(parts))
     return told.mapInArrow(_result(length, digest), f"dk long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
 
 
