@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -175,8 +176,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, pattern)
         for batch in batches:
-            ids = [[int(i) for i in found.split(" ")] if (found := encoder.encode(t)) else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            ids = [np.fromstring(encoder.encode(t), np.int32, sep=" ") for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
     rows = keyed(docs, *columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

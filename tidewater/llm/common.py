@@ -56,6 +56,20 @@ def real_id(column: str = "dk"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias("doc_id")
 
 
+def marked(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names are free in it, that hold dk and the text's xxhash64."""
+    dk, th = (next(f"_{n}{i}" for i in range(len(docs.columns) + 1) if f"_{n}{i}" not in docs.columns) for n in ("dk", "th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({dk: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), th: F.xxhash64(text)}), dk, th
+
+
+def only(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """The rows of docs with (how: left_semi) or without (left_anti) a row of decided (dk, th)."""
+    rows, dk, th = marked(docs)
+    keys = decided.select(F.col("dk").alias(dk), F.col("th").alias(th))
+    return rows.join(keys, [dk, th], how).select(*docs.columns)
+
+
 def ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 

@@ -7,6 +7,7 @@ from .byte_bpe import op6_byte_bpe
 from .ivf_pq import op9_ivf_pq
 from .licenses import OP7_SQL, op7_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .mixing import op4_mixing
 from .quality import op3_quality
 from .simhash import op5_simhash
 from .suffix_dedup import op8_suffix_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scan": op7_license_scan,
