@@ -197,7 +197,7 @@ def slots(t: Tables) -> DataFrame:
 @query("z3_rollup", f"""
 with s as (select value, ts + interval 3 hour as lt from events), d as (select date_trunc('day', lt)::date d, count(*) n, sum(value) v, max(lt) last from s group by all)
 select strftime(d, '%Y-%m') month_key, strftime(greatest(date_trunc('week', d)::date, date_trunc('month', d)::date), '%Y-%m-%d') segment_start,
-       strftime(least(date_trunc('week', d)::date + 6, last_day(d)), '%Y-%m-%d') segment_end, sum(n)::bigint n, round(sum(v), 4) v, count(*) days from d group by all
+       strftime(least(date_trunc('week', d)::date + 6, last_day(d)), '%Y-%m-%d') segment_end, sum(n)::bigint n, round(sum(v), 4) v, count(*) as days from d group by all
 """)
 def weekly(t: Tables) -> DataFrame:
     return rollup.segments(rollup.daily(t.messages())).select("month_key", "segment_start", "segment_end", "n", F.round("v", 4).alias("v"), "days")
