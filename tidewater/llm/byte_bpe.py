@@ -32,7 +32,7 @@ from .common import keyed, real_id, table
 #: White space as Unicode defines it (regex's own \s also takes U+001C to U+001F).
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A piece longer than this, in code points, is not memoised; nor is any once so many are held.
-MEMO_PIECE, MEMO_SIZE = 40, 500_000
+MEMO_PIECE, MEMO_SIZE = 40, 150_000
 
 
 def own_pattern(pattern: str) -> regex.Pattern:
@@ -109,7 +109,7 @@ class Encoder(dict):
             else:
                 good = True
                 break
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         self.pairs[left, right] = good
         return good
