@@ -85,12 +85,12 @@ def last_activity(t: Tables) -> DataFrame:
 
 
 @query("a11_reliability", f"""
-with {MESSAGES_SQL}, g as (select peer_id, kind, count(*) n, count_if(reactions >= 50) k, max(created_at) last_at, count(distinct sender_id) origins, avg(value) latency from messages group by all)
-select peer_id, kind, n, k, last_at, origins, round(latency, 6) latency,
+with {MESSAGES_SQL}, g as (select peer_id, kind, count(*) n, count_if(reactions >= 50) k, max(created_at) last_at, count(distinct sender_id) origins, sum(value) latency from messages group by all)
+select peer_id, kind, n, k, last_at, origins, round(latency, 2) latency,
        round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 6) reliability from g
 """)
 def reliability(t: Tables) -> DataFrame:
-    g = t.messages().groupBy("peer_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("reactions") >= 50).alias("k"), F.max("created_at").alias("last_at"), F.countDistinct("sender_id").alias("origins"), F.round(F.avg("value"), 6).alias("latency"))
+    g = t.messages().groupBy("peer_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("reactions") >= 50).alias("k"), F.max("created_at").alias("last_at"), F.countDistinct("sender_id").alias("origins"), F.round(F.sum("value"), 2).alias("latency"))
     return g.withColumn("reliability", F.round(rollup.wilson("k", "n"), 6))
 
 
