@@ -148,6 +148,11 @@ class Encoder(dict):
         """All ids in decimal, joined by one space."""
         return " ".join(map(self.__getitem__, self.pattern.findall(text)))
 
+    def forget(self) -> None:
+        """Give up what is memoised: Python workers outlive their tasks, and later stages need the memory."""
+        self.clear()
+        self.pairs.clear()
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.texts.__getitem__, ids.split(" "))) if ids else b""
 
@@ -180,6 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+        encoder.forget()
 
     rows = keyed(docs, *columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -221,6 +227,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
                 [*(batch.column(n) for n in rest), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                 [*rest, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.forget()
 
     rows = keyed(docs, *columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")

@@ -261,8 +261,8 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 words = np.stack([ints(part.column(c)).view(np.uint64) for c in key_columns], axis=1)
                 row, key = keys(words)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(ints(part.column(c))[row]) for c in carried)], ["key", *carried])
