@@ -32,11 +32,14 @@ def part_of(name: np.ndarray, parts: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Byte planes, which compress well where values are small."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    flat = np.ascontiguousarray(values)
+    return flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes() if len(flat) else b""
 
 
 def values(body: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    if not body:
+        return np.empty(0, kind)
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 

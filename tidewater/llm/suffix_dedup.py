@@ -272,7 +272,7 @@ def _no_pad(wide: np.ndarray, length: int) -> np.ndarray:
     return pads[:, length:] == pads[:, : pads.shape[1] - length]
 
 
-def _ask_windows(length: int, parts: int):
+def _ask_windows(length: int, parts: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows(batch):
@@ -283,7 +283,7 @@ def _ask_windows(length: int, parts: int):
                 settled = least < block.owner(at)
                 # A context that isn't its whole bucket may share some windows with the others.
                 open_ = ~settled & (total < size)
-                yield messages([(-1, block.number, _state(at[settled], at[open_], name[open_], size[open_] > HOT)), *Questions(block, at[open_], name[open_], size[open_] > HOT, parts).messages()])
+                yield messages([(-1, block.number, _state(at[settled], at[open_], name[open_], size[open_] > hot)), *Questions(block, at[open_], name[open_], size[open_] > hot, parts).messages()])
 
     return run
 
@@ -369,7 +369,7 @@ def _result(length: int, digest: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, digest: bool = False, hot: int = HOT) -> DataFrame:
     """(dk, n_bytes, n_removed, n_spans, kept): each row's bytes without those that smaller documents have.
 
     kept is the rest as bytes (a cut may fall inside a character), or with digest its SHA-256 in hex.
@@ -385,7 +385,7 @@ def without_repeats(docs: DataFrame, length: int = 50, digest: bool = False) ->
     grams = written(asked.groupBy("part").applyInArrow(_answer_grams, MESSAGES))
     asked = joined(body, grams).mapInArrow(_ask_contexts(length, parts), MESSAGES)
     contexts = written(asked.groupBy("part").applyInArrow(_answer_contexts, MESSAGES))
-    asked = written(joined(body, grams, contexts).mapInArrow(_ask_windows(length, parts), MESSAGES))
+    asked = written(joined(body, grams, contexts).mapInArrow(_ask_windows(length, parts, hot), MESSAGES))
     windows = asked.where("part >= 0").groupBy("part").applyInArrow(_answer_windows(length, parts), MESSAGES)
     last = asked.where("part < 0").unionByName(windows)
     told = joined(body, last, first=3).withColumn("parts", F.lit(parts))

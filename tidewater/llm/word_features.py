@@ -33,12 +33,15 @@ def numbers(word: str, buckets: int) -> tuple[int, int]:
 def tokens(batch: pa.RecordBatch, key) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
     """Slices of a batch: (first row, words a row, key of each distinct word, number of each word's distinct one).
 
-    Words are separated by Unicode white space; words that are only white space do not occur.
+    Words are separated by Unicode white space; white space at the ends makes none, nor does an empty text.
     """
     row = 0
     for part in chunks(batch, "text", SLICE):
-        words = pc.utf8_split_whitespace(part.column("text"))
-        flat = pc.dictionary_encode(words.flatten())
+        text = pc.utf8_trim_whitespace(part.column("text"))
+        words = pc.utf8_split_whitespace(text)
+        flat = words.flatten()
+        flat = pc.dictionary_encode(flat.filter(pc.not_equal(flat, "")))  # an empty text splits into one empty word
         distinct = [key(w) for w in flat.dictionary.to_pylist()]
-        yield row, pc.list_value_length(words).to_numpy(zero_copy_only=False), distinct, flat.indices.to_numpy(zero_copy_only=False)
+        length = pc.if_else(pc.equal(text, ""), 0, pc.list_value_length(words))
+        yield row, length.to_numpy(zero_copy_only=False), distinct, flat.indices.to_numpy(zero_copy_only=False)
         row += part.num_rows
