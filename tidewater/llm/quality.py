@@ -30,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGES, Buckets, answers, arrays, joined, message, messages, packed, rows
+from .blocks import MESSAGES, Buckets, answers, arrays, joined, message, messages, packed, planes, rows
 from .common import NULL_ID, real_id, table, written
 
 ORDER, PRIOR, SPREAD, FOLD = 5, 64, 3.0, 8
-BLOCK_BYTES, PART_BYTES, CHUNK = 4 << 20, 4 << 20, 1 << 18
+BLOCK_BYTES, PART_BYTES, CHUNK = 16 << 20, 4 << 20, 1 << 18
+#: Names that a block gathers before it merges equal ones.
+GATHERED = 1 << 20
 #: Slots of a block's table of logarithms.
 SLOTS = 20
 
@@ -72,6 +74,13 @@ def distinct(row: dict, trusted: set[int]) -> tuple[np.ndarray, np.ndarray]:
         code, times = np.unique(codes[some], return_counts=True)
         found.append(code >> np.uint64(1))
         count.append(times * (code & np.uint64(1)).astype(np.int64))
+        if sum(map(len, found[1:])) > GATHERED:
+            name, total = _merged(found, count)
+            found, count = [name], [total]
+    return _merged(found, count)
+
+
+def _merged(found: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     name, of = np.unique(np.concatenate(found), return_inverse=True)
     return name, np.bincount(of, weights=np.concatenate(count), minlength=len(name)).astype(np.int64)
 
@@ -103,7 +112,7 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     out = []
     for part, block, body in zip(*(asked.column(c).to_pylist() for c in ("part", "block", "body"))):
         name = arrays(body, np.uint64, np.int64)[0]
-        out.append(message(part, block, name, logs[np.searchsorted(gram, name)]))
+        out.append((part, block, planes(logs[np.searchsorted(gram, name)])))
     return pa.Table.from_batches([messages(out)])
 
 
@@ -163,35 +172,41 @@ def log_sums(row: dict, name: np.ndarray, logs: np.ndarray) -> np.ndarray:
     first = np.zeros(1 << SLOTS, np.int32)
     first[slot(name)] = np.arange(len(name))
     n = max(0, len(data) - ORDER + 1)
-    every, total = inside(start, size, n), np.zeros(n + 1)
-    at = 0.0
+    every, at = inside(start, size, n), 0.0
+    ends = np.stack([start, start + np.maximum(size - ORDER + 1, 0)]).clip(0, n)
+    before = np.zeros(ends.shape)  # the sum of all that stands before these positions
     for a in range(0, n, CHUNK):
         code = grams(data[a : a + CHUNK + ORDER - 1])
         index = first[slot(code)]
         lost = np.nonzero((name[index] != code) & every[a : a + CHUNK])[0]
         index[lost] = np.searchsorted(name, code[lost])
-        total[a + 1 : a + 1 + len(code)] = np.cumsum(np.where(every[a : a + CHUNK], logs[index], 0)) + at
-        at = total[a + len(code)]
-    end = start + np.maximum(size - ORDER + 1, 0)
-    return np.where(size >= ORDER, total[np.minimum(end, n)] - total[np.minimum(start, n)], 0.0)
+        sums = np.cumsum(np.where(every[a : a + CHUNK], logs[index], 0), dtype=np.float64)
+        here = (ends > a) & (ends <= a + len(code))
+        before[here] = at + sums[ends[here] - a - 1]
+        at += sums[-1]
+    return np.where(size >= ORDER, before[1] - before[0], 0.0)
 
 
 SCORES = "dk long, th long, lang string, n_bytes long, n long, logs double"
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in rows(batch):
-            got = [arrays(b, np.uint64, np.float32) for b in answers(row, 1).values()]
-            name, logs = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(1, np.uint64), np.zeros(1, np.float32))
-            order = np.argsort(name)
-            logs = log_sums(row, name[order], logs[order])
-            start, size = (np.frombuffer(row[c], np.int64) for c in ("start", "size"))
-            th = [xxhash.xxh64_intdigest(row["data"][a : a + n], 42) for a, n in zip(start.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(row["dk"], np.int64)), pa.array(np.array(th, np.uint64).view(np.int64)), pa.array(row["lang"], pa.string()), pa.array(size), pa.array(np.maximum(size - ORDER + 1, 0)), pa.array(logs)],
-                ["dk", "th", "lang", "n_bytes", "n", "logs"],
-            )
+def _score(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows(batch):
+                # Replies are logarithms in the order of the block's names, which are found once more: cheaper than sent.
+                buckets = Buckets(distinct(row, set())[0], parts)
+                logs = buckets.answered(answers(row, 1), np.float32)[buckets.of]
+                name = buckets.name[buckets.of]
+                logs = log_sums(row, name, logs) if len(name) else np.zeros(len(row["lang"]))
+                start, size = (np.frombuffer(row[c], np.int64) for c in ("start", "size"))
+                th = [xxhash.xxh64_intdigest(row["data"][a : a + n], 42) for a, n in zip(start.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(row["dk"], np.int64)), pa.array(np.array(th, np.uint64).view(np.int64)), pa.array(row["lang"], pa.string()), pa.array(size), pa.array(np.maximum(size - ORDER + 1, 0)), pa.array(logs)],
+                    ["dk", "th", "lang", "n_bytes", "n", "logs"],
+                )
+
+    return run
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +232,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = written(asked.groupBy("part").applyInArrow(_sum, "part long, gram long, n long"))
     known = probabilities(counts)
     replies = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answer, MESSAGES)
-    scores = written(joined(body, replies).mapInArrow(_score, SCORES).withColumn("tongue", F.coalesce("lang", F.lit(""))))
+    scores = written(joined(body, replies).mapInArrow(_score(parts), SCORES).withColumn("tongue", F.coalesce("lang", F.lit(""))))
     # Usual text of a language: that of its trusted documents, or of all trusted documents.
     unseen = scores.join(trusted.where("fold = 'test'"), "dk").select("tongue", "n", "logs")
     means = written(unseen.groupBy("tongue").agg((F.sum("logs") / F.sum("n")).alias("mean")))
