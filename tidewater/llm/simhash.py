@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ints, table, written
+from .common import ints, shuffle_partitions, table, written
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 #: Members of a bucket that one group compares; larger buckets are dealt to pairs of blocks.
 BLOCK = 2048
+#: Fingerprints that one task gives keys to: each makes up to some 200 rows, so the small table is dealt out first.
+SPREAD_ROWS = 8192
 
 
 # -- the Golay code
@@ -268,7 +270,8 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(ints(part.column(c))[row]) for c in carried)], ["key", *carried])
 
     carried = list(dict.fromkeys(["node", *compare]))
-    rows = prints.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in carried))
+    parts = max(shuffle_partitions(prints.sparkSession), -(-prints.count() // SPREAD_ROWS))
+    rows = prints.repartition(parts, "node").mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in carried))
     large = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
