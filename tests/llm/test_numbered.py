@@ -79,6 +79,10 @@ def test_byte_bpe(spark, odd):
     assert len(got) == len(rows) + len(more)
     for r in got:
         assert r["ids"] == own.encode_ordinary(r["text"]) and bytes(r["decoded"]) == r["text"].encode()
+    plain = lambda rows_: sorted((r["dk"], r["ids"]) for r in rows_)
+    checked = byte_bpe.encode_checked(docs, path).collect()
+    assert plain(checked) == plain(got) and all(r["round_trip"] for r in checked)
+    assert byte_bpe.encode_checked(docs.limit(0), path).count() == 0
 
 
 def test_simhash(spark, odd):

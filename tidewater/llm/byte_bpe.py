@@ -150,8 +150,8 @@ class Encoder(dict):
 
     def forget(self) -> None:
         """Give up what is memoised: Python workers outlive their tasks, and later stages need the memory."""
-        self.clear()
-        self.pairs.clear()
+        for memo in (self, self.pairs, self.shorter, self.halves):
+            memo.clear()
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.texts.__getitem__, ids.split(" "))) if ids else b""
@@ -182,9 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         encoder = _encoder(held.value, pattern)
         for batch in batches:
             ids = [np.fromstring(encoder.encode(t), np.int32, sep=" ") for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], [*batch.schema.names, "ids"])
         encoder.forget()
 
     rows = keyed(docs, *columns)
@@ -206,6 +204,34 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, *columns: str) -> DataFrame:
+    """docs as (dk, the named columns, ids array<int>, round_trip): round_trip if the decoded ids are the text's bytes.
+
+    Encodes and decodes in the same task: two Python operators in a row would take two workers for each core.
+    """
+    held = _vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(held.value, pattern)
+        for batch in batches:
+            ids, same = [], []
+            for text in batch.column("text").to_pylist():
+                found = encoder.encode(text)
+                same.append(encoder.decode(found) == text.encode())
+                ids.append(np.fromstring(found, np.int32, sep=" "))
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), _lists(ids), pa.array(same, pa.bool_())], [*rest, "ids", "round_trip"])
+        encoder.forget()
+
+    rows = keyed(docs, *columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>, round_trip boolean")
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([*ids, np.empty(0, np.int32)]))
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, *columns: str) -> DataFrame:
     """Per document: dk, the named columns, n_tokens, and SHA-256 of its ids and of the decoded bytes.
 
