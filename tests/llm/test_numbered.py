@@ -132,6 +132,60 @@ def test_near_duplicates_at_five_words(spark):
     assert all(got[i] == i for i in range(30)) and sum(got[30 + i] == i for i in range(30)) >= 29
 
 
+def near_pairs(rng, similarity, n, size=400):
+    """Pairs of texts of distinct words; blocks of 5 changed words bring the shingle sets just to this similarity or above."""
+    out = []
+    for _ in range(n):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(size)]
+        total = size - 4
+        changed, other = 0, list(words)
+        for i in range(2, size - 8, 9):  # each single word takes five shingles
+            if (total - changed - 5) / (total + changed + 5) < similarity:
+                break
+            other[i], changed = "changed" + "".join(rng.choices("abcdefgh", k=8)), changed + 5
+        out.append((" ".join(words), " ".join(other), (total - changed) / (total + changed)))
+    return out
+
+
+def test_near_duplicates_are_exactly_those_at_similarity(spark):
+    rng = random.Random(11)
+    for target, found in ((0.8, True), (0.85, True), (0.775, False)):
+        pairs = near_pairs(rng, target, 80)
+        assert all((s >= 0.8) == found for *_, s in pairs)
+        docs = documents(spark, [t for a, b, _ in pairs for t in (a, b)])
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+        hits = sum(got[2 * i + 1] == 2 * i for i in range(80))
+        assert hits >= 78 if found else hits == 0
+
+
+def test_near_duplicate_classes_equal_all_pairs(spark):
+    """Chains in which near misses lie between true pairs, copies, short texts: as by comparing every pair."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        text = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(200)]
+        for _ in range(12):
+            texts.append(" ".join(text))
+            text = list(rng.choice(texts[-3:]).split())
+            for i in rng.sample(range(200), rng.randint(1, 6)):
+                text[i] = "x" + "".join(rng.choices("abcdefgh", k=8))
+    texts += [texts[0].upper(), texts[5], "", None, "one two", "one two three four five six"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(documents(spark, texts), tables=20).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def vectors(spark, n=600, dim=8):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(rng.normal(size=(n, dim)))]

@@ -9,12 +9,16 @@ pigeonhole principle one half has at most one error. That half is a 23-bit segme
 if the error is in the segment, the halves share a Golay key and the 9 bits, otherwise the segment
 itself. Every pair within 3 bits therefore meets in some bucket, where it is verified.
 
-Similarity 0.8 (similar_classes): wider fingerprints give `tables` pairs of segments, whose combined
-Golay keys are the buckets; pairs are verified on 128 further bits, whose distance estimates the
-angle of the shingle sets. A pair of similarity 0.8 has about 15 % of differing bits; a table finds it
-with a chance of about 0.3, six tables with about 0.88, and pairs of similarity 0.9 with over 0.99.
-
-Buckets never emit all their pairs: a bucket's links are reduced to a forest in place, at most one
+Similarity 0.8 (similar_classes): documents with one set of shingles are one node. SimHashes of the sets
+give `tables` pairs of segments, whose combined Golay keys are the buckets; members within `radius` of
+each other on 128 further bits are candidates, and a candidate counts if the exact Jaccard similarity of
+the two sets of hashed shingles is high enough. A pair of similarity 0.8 has about 15 % of differing
+bits: a table finds it with a chance of about 0.37, twelve tables with 0.996, and radius 32 lets 0.999 pass.
+A bucket first emits only the shortest forest of its candidates. Candidates which that leaves out can
+matter only between classes that a refuted edge joined, so those classes alone are dealt out again
+and emit every pair across.
+
+Buckets do not emit all their pairs: a bucket's links are reduced to a forest in place, at most one
 edge a member. A bucket above `block` members is dealt to pairs of blocks of that size, each a group
 of its own, so no task gets an unbounded group. Equal fingerprints are one node throughout.
 
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ints, shuffle_partitions, table, written
+from .common import NULL_ID, ints, shuffle_partitions, table, written
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -137,6 +141,26 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """majority of each column of (n, width) words: bit planes of the counts, added in pairs."""
+    n, planes = len(hashes), [hashes]
+    if not n:
+        return np.zeros(hashes.shape[1], np.uint64)
+    while (m := len(planes[0])) > 1:
+        if m % 2:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        half, out, carry = (m + 1) // 2, [], np.uint64(0)
+        for p in planes:
+            a, b = p[:half], p[half:]
+            x = a ^ b
+            out.append(x ^ carry)
+            carry = a & b | x & carry
+        planes = [*out, carry]
+    bits = np.unpackbits(np.concatenate(planes).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    over = (1 << np.arange(len(planes))) @ bits.astype(np.int64) * 2 > n
+    return np.packbits(over, bitorder="little").view("<u8")
+
+
 def fingerprints(docs: DataFrame, words: int, seed: int, width: int = 1) -> DataFrame:
     """(doc_id, f0 .. f<width-1>): the SimHash of each row's whole text, 64 bits a column."""
     names = [f"f{k}" for k in range(width)]
@@ -154,6 +178,60 @@ def fingerprints(docs: DataFrame, words: int, seed: int, width: int = 1) -> Data
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def shingle_set(text: pa.Scalar, words: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_buffer().to_pybytes(), words, seed))
+
+
+def sketches(docs: DataFrame, words: int, seed: int, width: int) -> DataFrame:
+    """(doc_id, th, node, f0 .. f<width-1>) of each row: the text's xxhash64, a name for its set of shingles, the set's SimHash."""
+    names = [f"f{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, node = np.zeros((batch.num_rows, width), np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(pc.ascii_lower(batch.column("text"))):
+                hashes = shingle_set(text, words, seed)
+                node[i] = xxhash.xxh64_intdigest(hashes.tobytes())
+                out[i] = majorities(np.stack([_mixed(hashes, k) for k in range(width)], axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(node.view(np.int64)), *(pa.array(out[:, k].view(np.int64)) for k in range(width))], ["doc_id", "th", "node", *names])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("th", F.xxhash64("text"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """(node, hashes) for every row of wanted (node, dk, th): its sorted distinct shingle hashes, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words, seed).tobytes() for text in pc.ascii_lower(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    rows = _texts(docs).withColumn("dk", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted, ["dk", "th"])
+    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, hashes binary")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, alike): whether the Jaccard similarity of the nodes' sets is so high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"))):
+                a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                if len(a) and len(b):
+                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                    found[i] = both / (len(a) + len(b) - both) >= similarity
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "alike"])
+
+    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("u", "a"), ("v", "b")))
+    return edges.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
+
+
 # -- buckets
 
 
@@ -185,7 +263,9 @@ def table_keys(tables: int, skip: int):
             right = first[ra[left]] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
             rows.append(ra[left])
             out.append(np.int64(t) << 24 | ka[left].astype(np.int64) << 12 | kb[right])
-        return np.concatenate(rows), np.concatenate(out)
+        rows, out = np.concatenate(rows), np.concatenate(out)
+        order = np.argsort(rows, kind="stable")  # a node's rows side by side, where shuffle files compress them
+        return rows[order], out[order]
 
     return keys
 
@@ -203,8 +283,29 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _linked(compare: list[str], radius: int):
-    """Per bucket (rows arrive sorted by bucket): an edge from every linked member to its component's first."""
+def shortest_forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Indices of the links (a, b) that make a spanning forest of least distances (Boruvka)."""
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    label, alive, taken = np.arange(n), np.arange(len(a)), []
+    while True:
+        alive = alive[label[a[alive]] != label[b[alive]]]
+        if not len(alive):
+            return order[np.concatenate(taken)] if taken else order[:0]
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[alive]], alive)
+        np.minimum.at(best, label[b[alive]], alive)
+        won = np.unique(best[best < len(a)])
+        taken.append(won)
+        label = forest(n, label[a[won]], label[b[won]])[label]
+
+
+def _linked(compare: list[str], radius: int, emit: str = "roots"):
+    """Per bucket (rows arrive sorted by bucket): edges of its links.
+
+    emit: "roots" for an edge from every linked member to its component's first, "forest" for the
+    shortest links that connect as much, "across" for all links whose ends differ in the column class.
+    """
     ids = ["key", "s", "t"]
 
     def settle(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -221,21 +322,29 @@ def _linked(compare: list[str], radius: int):
             if not len(at):
                 break
             apart = sum(np.bitwise_count((cols[c][at] ^ cols[c][at + step]).view(np.uint64)).astype(np.int64) for c in compare)
-            near = at[apart <= radius]
-            if len(near):
-                links.append((near, near + step))
+            near = apart <= radius
+            if emit == "across":
+                near &= cols["class"][at] != cols["class"][at + step]
+            if near.any():
+                links.append((at[near].astype(np.int32), (at[near] + step).astype(np.int32), apart[near].astype(np.uint8)))
             step += 1
+        node = cols["node"]
+        if emit != "roots":
+            a, b, d = (np.concatenate(x) for x in zip(*links)) if links else (np.empty(0, np.int32),) * 3
+            if emit == "forest":
+                some = shortest_forest(n, a, b, d)
+                a, b = a[some], b[some]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
         if links:
-            root = forest(n, np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]))
+            root = forest(n, np.concatenate([x for x, _, _ in links]), np.concatenate([x for _, x, _ in links]))
         else:
             root = np.arange(n)
         inner = root != np.arange(n)
-        node = cols["node"]
         return pa.RecordBatch.from_arrays([pa.array(node[inner]), pa.array(node[root[inner]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        names = [*ids, *dict.fromkeys([*compare, "node"])]
+        names = [*ids, *dict.fromkeys([*compare, "node", *(["class"] if emit == "across" else [])])]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -255,10 +364,10 @@ def _linked(compare: list[str], radius: int):
     return run
 
 
-def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str], radius: int, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect all nodes which share a bucket and lie within radius.
+def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str], radius: int, block: int = BLOCK, emit: str = "roots") -> DataFrame:
+    """Edges (u, v) that connect all nodes which share a bucket and lie within radius (emit as for _linked).
 
-    prints: node and fingerprint columns, one row a node.
+    prints: node and fingerprint columns, one row a node; with class for emit "across".
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +378,7 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
                 row, key = keys(words)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(ints(part.column(c))[row]) for c in carried)], ["key", *carried])
 
-    carried = list(dict.fromkeys(["node", *compare]))
+    carried = list(dict.fromkeys(["node", *compare, *(["class"] if emit == "across" else [])]))
     parts = max(shuffle_partitions(prints.sparkSession), -(-prints.count() // SPREAD_ROWS))
     rows = prints.repartition(parts, "node").mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in carried))
     large = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -281,7 +390,7 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
         .select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), *carried)
     )
     order = ["key", "s", "t"]
-    return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_linked(compare, radius), "u long, v long").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_linked(compare, radius, emit), "u long, v long").distinct()
 
 
 def _classes(prints: DataFrame, columns: list[str], keys, key_columns: list[str], compare: list[str], radius: int) -> DataFrame:
@@ -303,15 +412,39 @@ def simhash_classes(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     return _classes(prints, ["f0"], radius_keys, ["f0"], ["f0"], 3)
 
 
-def similar_classes(docs: DataFrame, words: int = 5, seed: int = 42, similarity: float = 0.8, tables: int = 6) -> DataFrame:
-    """(doc_id, component_id): classes of documents whose shingle sets are estimated this similar or more."""
+def similar_classes(docs: DataFrame, words: int = 5, seed: int = 42, similarity: float = 0.8, tables: int = 12) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked by this Jaccard similarity of shingle sets or more."""
     skip = 2
-    width = skip + tables
-    columns = [f"f{k}" for k in range(width)]
-    cosine = 2 * similarity / (1 + similarity)
-    radius = int(64 * skip * np.arccos(cosine) / np.pi)
-    prints = written(fingerprints(docs, words, seed, width))
-    return _classes(prints, columns, table_keys(tables, skip), columns, columns[:skip], radius).select("doc_id", "component_id")
+    columns = [f"f{k}" for k in range(skip + tables)]
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    radius = int(64 * skip * share + 3.2 * (64 * skip * share * (1 - share)) ** 0.5)
+    prints = written(sketches(docs, words, seed, skip + tables))
+    place = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("dk"), "th")).alias("place")
+    single = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), place, *(F.first(c).alias(c) for c in columns)))
+
+    def edges(rows: DataFrame, emit: str) -> DataFrame:
+        return linked(rows, table_keys(tables, skip), columns, columns[:skip], radius, BLOCK // 2, emit)
+
+    tree = written(edges(single, "forest"))
+    ends = tree.select(F.col("u").alias("node")).union(tree.select("v")).distinct()
+    sets = written(shingle_sets(docs, written(single.join(ends, "node").select("node", "place.dk", "place.th")), words, seed))
+    tested = written(verified(tree, sets, similarity))
+    links = tested.where("alike").select("u", "v")
+    classes = written(components(links))
+    refuted = tested.where("not alike")
+    for n in ("u", "v"):
+        refuted = refuted.join(classes.select(F.col("node").alias(n), F.col("root").alias(f"of_{n}")), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
+    refuted = written(refuted.where("of_u != of_v").select("of_u", "of_v"))
+    if not refuted.isEmpty():
+        open_ = refuted.select(F.col("of_u").alias("class")).union(refuted.select("of_v")).distinct()
+        rows = single.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).join(open_, "class", "left_semi")
+        more = edges(written(rows.select("node", "class", *columns)), "across").join(tree, ["u", "v"], "left_anti")
+        late = written(verified(written(more), sets, similarity).where("alike").select("u", "v"))
+        if not late.isEmpty():
+            classes = written(components(links.union(late)))
+    members = written(single.select("node", "least").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    ids = written(members.groupBy("root").agg(F.min("least").alias("component_id")))
+    return prints.join(written(members.join(ids, "root").select("node", "component_id")), "node").select("doc_id", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
