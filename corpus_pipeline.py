@@ -48,7 +48,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at their rates, each once at most, since copies have just been removed."""
     labelled = table(spark, sf_dir, "labels").select("doc_id", F.expr(mixing.DOMAIN).alias("domain"))
-    found = mixing.mixed(docs, labelled, mixing.WEIGHTS, "clean")
+    found = mixing.mixed(docs, labelled, mixing.WEIGHTS, most=1.0)
     return only(docs, found.where(mixing.copies() < 1), "left_anti")
 
 

@@ -296,6 +296,22 @@ def test_mixing_moves_totals_to_targets(spark):
     assert mixing.mixed(docs.limit(0), labelled.limit(0), {"a": 1.0, "b": 1.0}).count() == 0
 
 
+def test_mixing_reaches_small_targets(spark):
+    """Domains of 10 % with targets of 1 and 2 %: every total is within CLOSE, with rates above 1 or without."""
+    rng = random.Random(14)
+    words = {"clean": ["sun", "sea", "sand"], "low": ["zzz", "qqq", "www"], "toxic": ["BAD!!", "awful", "worse"]}
+    domain = ["low" if i % 10 == 0 else "toxic" if i % 10 == 1 else "clean" for i in range(600)]
+    docs = documents(spark, [" ".join(rng.choices(words[d], k=rng.randint(20, 60))) for d in domain])
+    labelled = spark.createDataFrame(list(enumerate(domain)), "doc_id long, domain string")
+    for most in (math.inf, 1.0):
+        rows = mixing.mixed(docs, labelled, mixing.WEIGHTS, "clean", most=most).collect()
+        assert all(0 <= r["rate"] <= most for r in rows)
+        reached = {d: sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in rows) for d in mixing.WEIGHTS}
+        total = sum(reached.values())
+        assert all(abs(reached[d] / total - t) < 5e-4 for d, t in mixing.WEIGHTS.items())
+    assert {r["rate"] for r in mixing.mixed(docs, labelled.limit(0), mixing.WEIGHTS, "clean").collect()} == {1.0}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices("aeioustn", k=5)) for _ in range(400)]

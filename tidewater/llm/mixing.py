@@ -1,15 +1,19 @@
 """Mixing to target weights by soft membership: rates for documents, not for sources.
 
 A classifier fitted on a labelled table gives every document its posterior probability of each domain.
-Document d with w_d tokens and rate r_d adds w_d r_d p_dk expected tokens to domain k. The rates are the
-nonnegative ones that bring these totals nearest to the targets: accelerated projected gradient on
+Document d with w_d tokens and rate r_d adds w_d r_d p_dk expected tokens to domain k. The rates are those
+from 0 to `most` that bring these totals to the targets t_k and change least, the minimum of
 
     1/2 sum_k ((sum_d w_d r_d p_dk - t_k) / T)^2  +  RIDGE/2 sum_d (w_d / T) (r_d - 1)^2
 
-in the metric of w_d / T, where the step 1 / (1 + RIDGE) is safe whatever the data. A document's rate
-after n steps depends on its posteriors and on the n residuals only, which are K numbers each; so an
-iteration is one pass over the narrow table of posteriors that repeats the steps so far, and a sum. The
-driver holds the residuals, never documents.
+with a RIDGE so small that it decides only between rates of equal totals. Its dual has one number a domain:
+r_d = clip(1 - sum_k p_dk x_k, 0, most), and Newton steps on x need the totals and their derivatives only. So an
+iteration is one pass over the narrow table of posteriors, which tries several lengths of the step at once. It
+ends when every total is within CLOSE (of all tokens) of its target; if none gets there, there is a warning with
+the totals reached. The driver holds a few numbers a domain, never documents.
+
+Where rates above 1 cannot be used (most = 1), the size of the result is left free and only its shares are given:
+p_dk - (target share of k) takes the place of p_dk, and 0 that of t_k.
 
 The classifier works on words: how much likelier a domain's documents have a word (by hashed bucket) or a
 word of that shape (case and marks), as mean and maximum over the text, weighed by a softmax layer. It is
@@ -17,13 +21,14 @@ fitted in numpy on at most `fit_rows` labelled rows, those with the least hash o
 
 Defined cases: a null or empty text has no tokens and rate 1; label rows without doc_id or domain, or
 without a document, do not count; without labelled rows, or with one domain only, posteriors are the
-domains' shares (equal ones without any rows) and rates stay near 1; rows without doc_id are weighed
+domains' shares (equal ones without any rows) and rates are 1; rows without doc_id are weighed
 too; repeated rows each get a result; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import keyed, real_id, table, written
 from .word_features import numbers, plain, tokens
 
-FIT_ROWS, BUCKETS, SHAPES, RIDGE, STEPS, CLOSE = 4000, 1 << 17, 1 << 12, 0.05, 40, 1e-4
+FIT_ROWS, BUCKETS, SHAPES, RIDGE, STEPS, CLOSE = 4000, 1 << 17, 1 << 12, 1e-6, 40, 1e-4
+#: Lengths of a Newton step that one pass tries.
+LENGTHS = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001]
 #: A rate of so much counts as 1 when documents are drawn.
 WHOLE = 0.9
 
@@ -153,59 +160,88 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(run, "dk long, th long, n_tokens long, " + ", ".join(f"`{c}` double" for c in names))
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors p after the steps so far, and the point of the next step."""
-    step = 1 / (1 + ridge)
-    pull = (1 - (ridge * step) ** 0.5) / (1 + (ridge * step) ** 0.5)
-    rate = ahead = np.ones(len(p))
-    for e in residuals:
-        new = np.maximum(0, ahead - step * (p @ e + ridge * (ahead - 1)))
-        ahead, rate = new + pull * (new - rate), new
-    return rate, ahead
+def rate_of(p: np.ndarray, x: np.ndarray, most: float) -> np.ndarray:
+    """Rates of documents with posteriors p at the dual point x."""
+    return np.clip(1 - p @ x, 0, most)
 
 
-def rates(found: DataFrame, weights: dict[str, float], anchor: str | None = None, ridge: float = RIDGE) -> DataFrame:
+def rates(found: DataFrame, weights: dict[str, float], anchor: str | None = None, ridge: float = RIDGE, most: float = np.inf) -> DataFrame:
     """found (from posteriors, written) with the column rate.
 
     weights: target shares of the domains. The targets add up to the tokens there are or, with anchor,
-    to what leaves that domain's total as it is.
+    to what leaves that domain's total as it is; with a finite `most` shares alone count.
     """
     names = [f"p_{d}" for d in weights]
     share = np.array(list(weights.values()), float)
     share = share / share.sum()
+    free = bool(np.isfinite(most))
     sums = found.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"`{c}`")) for c in names)).first()
     total, now = float(sums[0] or 0), np.array([float(x or 0) for x in sums[1:]])
-    residuals: list[np.ndarray] = []
-    if total:
-        goal = now[list(weights).index(anchor)] / share[list(weights).index(anchor)] / total if anchor else 1.0
+    k, x = len(names), np.zeros(len(names))
 
-        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(names))
-            for batch in batches:
-                p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-                out += (batch.column("n_tokens").to_numpy() * replay(p, residuals, ridge)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names)
+    def features(batch: pa.RecordBatch) -> np.ndarray:
+        p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+        return p - share if free else p
 
+    if total:
+        i = list(weights).index(anchor) if anchor else 0
+        target = np.zeros(k) if free else share * (now[i] / share[i] / total if anchor else 1.0)
+
+        def measures(points: list[np.ndarray]) -> list[tuple]:
+            """At every point: the dual's value, its falling gradient (totals less targets), its second derivatives."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros((len(points), 1 + k + k * k))
+                for batch in batches:
+                    p, w = features(batch), batch.column("n_tokens").to_numpy() / total
+                    for row, at in zip(out, points):
+                        raw = 1 - p @ at
+                        r = np.clip(raw, 0, most)
+                        wp = p * (w * ((raw > 0) & (raw <= most)))[:, None]
+                        # r^2/2 up to most, then straight on
+                        row[0] += w @ (r * r / 2 + r * (raw - r) * (raw > r))
+                        row[1 : 1 + k] += (w * r) @ p
+                        row[1 + k :] += (wp.T @ p).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["i", "s"])
+
+            got = {r[0]: r[1] for r in found.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s")).collect()}
+            rows = np.array([got[j] for j in range(len(got))]).reshape(len(points), -1)
+            return [
+                (r[0] + target @ at + ridge / 2 * at @ at, r[1 : 1 + k] - target - ridge * at, r[1 + k :].reshape(k, k) + ridge * np.eye(k), r[1 : 1 + k] - target)
+                for r, at in zip(rows, points)
+            ]
+
+        value, down, second, apart = measures([x])[0]
+        every = second  # with all documents off the bounds: steps by it always fall
         for _ in range(STEPS):
-            sums = found.mapInArrow(totals, ", ".join(f"`{c}` double" for c in names)).agg(*(F.sum(f"`{c}`") for c in names)).first()
-            residuals.append(np.array(sums) / total - share * goal)
-            if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < CLOSE:
+            if np.abs(apart).max() < CLOSE:
+                break
+            step = np.linalg.solve(second, down)
+            tried = [*(x + length * step for length in LENGTHS), x + np.linalg.solve(every, down)]
+            results = measures(tried)
+            best = min(range(len(tried)), key=lambda j: results[j][0])
+            if results[best][0] >= value:
                 break
+            x, (value, down, second, apart) = tried[best], results[best]
+        if np.abs(apart).max() >= CLOSE:
+            warnings.warn(f"mixing: totals differ from their targets by {dict(zip(weights, apart.round(5).tolist()))} of all tokens", stacklevel=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-            rate = np.where(batch.column("n_tokens").to_numpy() > 0, replay(p, residuals, ridge)[0], 1.0)
+            rate = np.where(batch.column("n_tokens").to_numpy() > 0, rate_of(features(batch), x, most), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return found.mapInArrow(run, f"{kinds}, rate double")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, most: float = np.inf) -> DataFrame:
     """(dk, th, n_tokens, p_<domain> ..., rate) of each row of docs; labelled: doc_id, domain."""
     model = fit(docs, labelled, list(weights))
-    return rates(written(posteriors(docs, model)), weights, anchor)
+    found = posteriors(docs, model)
+    if model.weights is None:
+        return found.withColumn("rate", F.lit(1.0))
+    return rates(written(found), weights, anchor, most=most)
 
 
 def copies(rate: str = "rate", whole: float = WHOLE):
