@@ -8,15 +8,16 @@ upper slices of the components are added, so this is the score up to a known sla
 most significant score slice downward gives the k-th highest value; the rows that the slack leaves
 possible are the boundary rows, whose scores are then computed exactly from the block's integers.
 
-Queries are packed into blocks too and dealt to every group of index blocks, so the work is a stated
-query set against all rows, block by block; nothing is broadcast or collected. Each block yields at
+Queries are packed into blocks too, of QUERIES each, and dealt to every group of index blocks, so the work is a
+stated query set against all rows, block by block, and an index block is read once for so many queries; nothing is broadcast or collected. Each block yields at
 most k rows a query, and partial limits apply before the final ranking is shuffled.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take
 no part, nor do vectors whose length is not dim (None: the most frequent length); ties go to the
 smaller vec_id; rows that bear the query's vec_id are not its candidates; repeated rows are candidates
 each, repeated queries give one result; empty tables give an empty result; extra columns are ignored.
-Quantised components must fit in 32 bits.
+Quantised components beyond 2^62 - 1 in size count as that number, and scores beyond 64 bits as the nearest
+64-bit number; up to there all is exact.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from .common import ints, shuffle_partitions, table, written
 from .vectors import matrix
 
 #: Rows of a block, queries of a query block, slices of a component that are added.
-ROWS, QUERIES, UPPER = 8192, 128, 5
+ROWS, QUERIES, UPPER = 8192, 1024, 5
+#: The largest size of a quantised component.
+MOST = 2**62 - 1
 
 
 def dimension(rows: DataFrame) -> int:
@@ -42,7 +45,27 @@ def dimension(rows: DataFrame) -> int:
 
 
 def quantised(values: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * values).astype(np.int64)
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * values)
+    inside = np.abs(whole) < float(MOST)
+    return np.where(inside, np.where(inside, whole, 0).astype(np.int64), np.where(whole > 0, MOST, -MOST))
+
+
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows with a query, as far as 64 bits hold them."""
+    if len(rows) and float(np.abs(rows).max()) * float(np.abs(query).astype(np.float64).sum()) >= 2.0**62:
+        wide = rows.astype(object) @ query.astype(object)
+        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in wide], np.int64)
+    return rows @ query
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Integers as 32-bit ones where they fit, else as 64-bit ones."""
+    return values.astype(np.int32 if values.size == 0 or np.abs(values).max() < 2**31 else np.int64).tobytes()
+
+
+def widened(body: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(body, np.int64 if n * dim and len(body) == 8 * n * dim else np.int32).reshape(n, dim)
 
 
 def _pack(dim: int, scale: float, limit: int):
@@ -61,7 +84,7 @@ def _pack(dim: int, scale: float, limit: int):
             above = ints_ - low
             slices = np.stack([np.packbits((above >> b & 1).astype(np.uint8).T, axis=1, bitorder="little") for b in range(width)])
             return pa.RecordBatch.from_arrays(
-                [pa.array([size], pa.int32()), pa.array([width], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (some, ints_.astype(np.int32), low, slices))],
+                [pa.array([size], pa.int32()), pa.array([width], pa.int32()), *(pa.array([x], pa.binary()) for x in (some.tobytes(), narrow(ints_), low.tobytes(), slices.tobytes()))],
                 ["n", "width", "ids", "ints", "low", "slices"],
             )
 
@@ -165,12 +188,12 @@ def search_block(block: dict, queries: np.ndarray, query_ids: np.ndarray, k: int
                     maps.setdefault(power + s, []).append(signed[s, some])
         score = added(maps, words)
         # What the lower slices can add lies between 0 and slack, in units of 2**lower.
-        slack = int(size.sum()) * (2**lower - 1)
+        slack = sum(size.tolist()) * (2**lower - 1)
         floor = kth(score, rows, min(k, live)) - -(-slack // 2**lower) - 1
         bits = at_least(score, rows, floor)
         found = np.nonzero(np.unpackbits(bits.view(np.uint8), count=n, bitorder="little"))[0]
-        exact = block["ints"][found].astype(np.int64) @ query
-        best = np.argsort(-exact, kind="stable")[:k]  # rows are in the order of vec_id
+        exact = products(block["ints"][found].astype(np.int64), query)
+        best = np.argsort(~exact, kind="stable")[:k]  # ~x falls as x rises; rows are in the order of vec_id
         yield np.full(len(best), q), found[best], exact[best]
 
 
@@ -180,9 +203,9 @@ def _search(dim: int, k: int):
             for row in batch.to_pylist():
                 n = row["n"]
                 slices = np.frombuffer(row["slices"], np.uint8).reshape(row["width"], dim, -1)
-                block = {"ids": np.frombuffer(row["ids"], np.int64), "ints": np.frombuffer(row["ints"], np.int32).reshape(n, dim), "slices": _words(slices)}
+                block = {"ids": np.frombuffer(row["ids"], np.int64), "ints": widened(row["ints"], n, dim), "slices": _words(slices)}
                 query_ids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_ints"], np.int32).reshape(-1, dim).astype(np.int64)
+                queries = widened(row["q_ints"], len(query_ids), dim).astype(np.int64)
                 found = list(search_block(block, queries, query_ids, k))
                 if found:
                     q, r, score = map(np.concatenate, zip(*found))
