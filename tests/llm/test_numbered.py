@@ -347,3 +347,49 @@ def test_pipeline_keeps_columns(spark, tmp_path):
         assert 0.4 * before < docs.count() <= before
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.where("not round_trip").count() == 0 and last.count() == docs.count()
+
+
+def test_top_k_of_large_values_repeats_and_ties(spark):
+    """Scores beyond 32 bits are exact, beyond 64 bits at the ends; equal rows rank by id, repeats count each."""
+    kind = "vec_id long, embedding array<double>"
+    rows = spark.createDataFrame([(0, [1.0, 1.0]), (1, [3e6, 1.0]), (2, [5.0, 5.0]), (4, [5.0, 5.0]), (3, [5.0, 5.0]), (3, [5.0, 5.0]), (100, [2.0, 2.0]), (100, [2.0, 2.0])], kind)
+    got = [tuple(r)[1:] for r in bit_sliced.top_k(rows, rows.where("vec_id = 100"), 10).orderBy("rank").collect()]
+    five = 5 * 1024 * 2048 * 2
+    assert got == [(1, 1, 6291458097152), (2, 2, five), (3, 3, five), (4, 3, five), (5, 4, five), (6, 0, 4194304)]
+    rows = spark.createDataFrame([(1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [0.0, 1.0]), (100, [2.0, 2.0])], kind)
+    got = [tuple(r)[1:] for r in bit_sliced.top_k(rows, rows.where("vec_id = 100"), 10).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 1024 * 2048), (3, 2, -(2**63))]
+
+
+def recall_of(spark, x, k=20):
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ivf_pq.search(rows, rows.where("vec_id % 40 = 0"), k).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 40):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), -score))[:k].tolist()))
+    model = ivf_pq.model_of(rows, k, x.shape[1])
+    return hits / (k * len(range(0, len(x), 40))), model.probes / len(model.centre)
+
+
+def test_nearest_recall_with_unprobed_lists(spark):
+    rng = np.random.default_rng(21)
+    loose = rng.normal(size=(4000, 8))
+    recall, probed = recall_of(spark, loose)
+    assert recall >= 0.9 and probed < 0.5
+    centre = rng.normal(size=(40, 16))
+    tight = centre[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.02
+    tight[:1500] = centre[0] + rng.normal(size=(1500, 16)) * 1e-4  # one list, one code, many near copies
+    recall, probed = recall_of(spark, tight)
+    assert recall >= 0.9 and probed < 0.5
+
+
+def test_nearest_of_zero_vectors_ties_and_repeats(spark):
+    kind = "vec_id long, embedding array<double>, list int, shard long"
+    rows = spark.createDataFrame([(20, [0.0, 0.0], 1, 1), (20, [1.0, 0.0], 1, 1), (2, [2.0, 2.0], 1, 1), (1, [2.0, 2.0], 1, 1), (1, [2.0, 2.0], 1, 1), (3, [0.0, 0.0], 1, 1), (4, None, 1, 1), (40, [0.0, 0.0], 1, 1), (None, [1.0, 1.0], 1, 1)], kind)
+    got = [tuple(r) for r in ivf_pq.search(rows, rows.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0)]
+    assert ivf_pq.search(rows.limit(0), rows.limit(0), 5).count() == 0
