@@ -393,3 +393,98 @@ def test_nearest_of_zero_vectors_ties_and_repeats(spark):
     got = [tuple(r) for r in ivf_pq.search(rows, rows.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect()]
     assert got == [(20, 1, 1, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0)]
     assert ivf_pq.search(rows.limit(0), rows.limit(0), 5).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_license_headers_plain_and_in_comments(spark):
+    """Headers as files hold them, below a copyright line, plain and in the comments of several languages."""
+    heads = {"MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL, "ISC": licenses.SENTENCES["isc-1"], "Zlib": licenses.SENTENCES["zlib-1"] + "\n\n" + licenses.SENTENCES["zlib-2"]}
+    texts, want = [], []
+    for name, body in heads.items():
+        for owner in ("Copyright (c) 2020 A. Body\n\n", "Copyright 2020 Some Body. All rights reserved.\n", ""):
+            whole = (owner + body).split("\n")
+            for before, mark, after in (("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("", ";; ", "")):
+                texts.append(before + "\n".join((mark + line).rstrip() for line in whole) + after + "\nint main;\n")
+                want.append([name])
+    for tag in ("MIT", "Apache-2.0", "LGPL-2.1-or-later"):
+        texts += [f"// SPDX-License-Identifier: {tag}\n#include <a>", f"# SPDX-License-Identifier: {tag}\n# Copyright 2020 B\n\nimport os"]
+        want += [[tag]] * 2
+    texts += ["Copyright law is old. A warranty is a promise. Read the license: it says much.", "We redistribute income, with permission.", MIT.split("\n\n")[1]]
+    want += [[]] * 3
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert licenses.scan(documents(spark, texts).limit(0)).count() == 0
+
+
+def plain(value):
+    return f"{value:.9g}" if isinstance(value, float) else str(value)
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_bit_sliced_topk", "op7_license_scan"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tidewater.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        duck.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    found, rel = queries.QUERIES[name](spark, folder), duck.sql(queries.ORACLE[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(rel.columns)
+    rows = lambda some: sorted(tuple(map(plain, r)) for r in some)
+    assert rows(found.select(columns).collect()) == rows(rel.select(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_license_sql_on_headers(spark):
+    """The SQL agrees on headers, comments, empty lines and odd marks."""
+    import duckdb
+    import pandas as pd
+
+    texts = [c + b.replace("\n", "\n" + m) for b in (MIT, APACHE, BSD, GPL) for m in ("", "# ", " * ", "\r\n") for c in ("", "Copyright x\n", "\n\n \n(c) y\n *\n# \n")] + [None, "", "License: MIT\nx", "License:\n\nMIT", "a license.\n\n\n:\n \n!"]
+    docs = documents(spark, texts)
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = {r[0]: r[1:] for r in duck.sql(licenses.OP7_SQL).fetchall()}
+    got = {r["doc_id"]: (len(r["matches"]), " ".join(m["id"] for m in r["matches"]), ",".join(r["licenses"])) for r in licenses.scan(docs).collect()}
+    assert got == want

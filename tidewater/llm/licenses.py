@@ -6,7 +6,9 @@ their places. A rule is an ordered list of identifiers: it matches where they fo
 that order, with at most `gap` other sentences between two neighbours. A rule whose match is part of
 a longer rule's is not reported beside it (see RULES).
 
-A sentence ends at . ! or ? before white space, or at an empty line. A single line break is white space
+A sentence ends at . ! or ? before white space, at : before a line break, or at an empty line; a line of comment marks only is
+empty, and so is a copyright line, which says who owns a work, not how it is licensed. All marks vanish in
+the reduction, so headers in code comments read like plain ones. A single line break is white space
 (licence texts are wrapped), but where the sentence so read is unknown, its lines are tried one by one.
 
 Every document is searched; texts without any of the words in WORDS, one of which each known sentence
@@ -39,6 +41,8 @@ SENTENCES = {
     "apache-1": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-2": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-3": "Licensed under the Apache License, Version 2.0.",
+    "apache-4": "Apache License Version 2.0, January 2004",
+    "apache-5": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     "gpl-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-2": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -48,6 +52,27 @@ SENTENCES = {
     "mit-4": "Released under the MIT License.",
     "mit-5": "Licensed under the MIT License.",
     "bsd-5": "Released under the BSD 3-Clause License.",
+    "bsd-6": "Released under the BSD 2-Clause License.",
+    "bsd-7": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-8": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "0bsd-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "gpl-6": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-2": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "zlib-1": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-2": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl-2": "Distributed under the Boost Software License, Version 1.0.",
+    "wtfpl-1": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "postgresql-1": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "ofl-1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "cc0-1": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal public domain dedication.",
+    "cc0-2": "Licensed under CC0 1.0.",
+    "artistic-1": "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
     "cc-1": "Licensed under CC BY 4.0.",
     "cc-2": "Licensed under CC BY-SA 4.0.",
     "cc-3": "Licensed under CC BY-NC 4.0.",
@@ -56,17 +81,37 @@ SENTENCES = {
     "cc-6": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "unlicense-1": "This is free and unencumbered software released into the public domain.",
 }
+#: Other forms of these sentences.
+VARIANTS = {
+    "apache-2": ["You may obtain a copy of the License at", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-3": ["Released under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "Licensed under the Apache License 2.0."],
+    "mit-4": ["Released under the MIT license, see LICENSE."],
+    "mit-5": ["This project is licensed under the MIT License.", "This software is licensed under the MIT License.", "Distributed under the MIT License."],
+    "bsd-5": ["Licensed under the BSD 3-Clause License."],
+    "bsd-6": ["Licensed under the BSD 2-Clause License."],
+    "cc0-2": ["This work is licensed under CC0 1.0 Universal."],
+}
+#: Licences that a one-line tag (SPDX-License-Identifier) can name.
+TAGS = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "OFL-1.1", "PostgreSQL", "Unlicense", "WTFPL", "Zlib",
+]
+SENTENCES |= {f"tag-{tag.lower()}": f"SPDX-License-Identifier: {tag}" for tag in TAGS}
+VARIANTS |= {f"tag-{tag.lower()}": [f"License: {tag}"] for tag in TAGS}
 #: Ordered rules (licence, identifiers, the licences whose match makes this one superfluous).
 RULES = [
     ("MIT", ["mit-1", "mit-2", "mit-3"], []),
     ("MIT", ["mit-4"], []),
     ("MIT", ["mit-5"], []),
     ("ISC", ["isc-1"], []),
-    ("BSD-2-Clause", ["bsd-1", "bsd-2", "bsd-3"], ["BSD-3-Clause"]),
-    ("BSD-3-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-4"], []),
+    ("BSD-2-Clause", ["bsd-1", "bsd-2", "bsd-3"], ["BSD-3-Clause", "BSD-4-Clause"]),
+    ("BSD-3-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-4"], ["BSD-4-Clause"]),
     ("BSD-3-Clause", ["bsd-5"], []),
+    ("BSD-2-Clause", ["bsd-6"], []),
+    ("BSD-4-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-7", "bsd-4"], []),
     ("Apache-2.0", ["apache-1", "apache-2"], []),
     ("Apache-2.0", ["apache-3"], []),
+    ("Apache-2.0", ["apache-4", "apache-5"], []),
     ("GPL-2.0-or-later", ["gpl-1", "gpl-3"], []),
     ("GPL-3.0-or-later", ["gpl-2", "gpl-3"], []),
     ("GPL-3.0-only", ["gpl-4"], []),
@@ -79,17 +124,35 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-5"], []),
     ("CC-BY-NC-4.0", ["cc-6"], []),
     ("Unlicense", ["unlicense-1"], []),
+    ("0BSD", ["0bsd-1"], []),
+    ("LGPL-2.1-or-later", ["lgpl-1", "lgpl-3"], []),
+    ("LGPL-3.0-or-later", ["lgpl-2", "lgpl-3"], []),
+    ("AGPL-3.0-or-later", ["agpl-1", "gpl-3"], []),
+    ("EPL-2.0", ["epl-1"], []),
+    ("Zlib", ["zlib-1", "zlib-2"], []),
+    ("BSL-1.0", ["bsl-1"], []),
+    ("BSL-1.0", ["bsl-2"], []),
+    ("WTFPL", ["wtfpl-1"], []),
+    ("PostgreSQL", ["postgresql-1"], []),
+    ("OFL-1.1", ["ofl-1"], []),
+    ("CC0-1.0", ["cc0-1"], []),
+    ("CC0-1.0", ["cc0-2"], []),
+    ("Artistic-2.0", ["artistic-1"], []),
 ]
-WORDS = "(?i)licen|permission|warrant|redistribut|public domain"
+RULES += [(tag, [f"tag-{tag.lower()}"], []) for tag in TAGS]
+WORDS = "(?i)licen|permission|warrant|redistribut|public domain|you may obtain a copy|terms and conditions|you can obtain one|advertising materials"
 #: Sentences between two neighbours of a rule.
 GAP = 3
 
-END = r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n[ \t\r]*\n"
+#: A copyright line, without what goes before its words.
+OWNED = r"^[^\na-z0-9]*(?:copyright|\(c\)|©)[^\n]*"
+#: Ends of sentences.
+END = r"(?<=[.!?])[ \t\n\x0b\f\r]+|(?<=:)[ \t\r]*\n|\n[ \t\r]*(?:[#*/;%!|-]+[ \t\r]*)*\n"
 
 
 def reduced(sentence: str) -> str:
     """A known sentence's words in lower case, as `words` makes them of a column."""
-    return re.sub(r"[^0-9a-z\x80-￿]+", " ", sentence.lower()).strip()
+    return re.sub(r"[^0-9a-z\x80-\uffff]+", " ", sentence.lower()).strip()
 
 
 def words(sentence: Column) -> Column:
@@ -98,18 +161,17 @@ def words(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(lower, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
 
 
-def known(sentences: dict[str, str]) -> Column:
-    """The map from a known sentence, cut and reduced, to its identifier.
+def forms(sentences: dict[str, str]) -> dict[str, str]:
+    """The identifier of every form of every sentence, by its reduced piece.
 
-    A sentence that itself has ends inside (`v. 2.0`) is known by its first piece that tells it apart.
+    A sentence that itself has ends inside (`v. 2.0`) is known by its longest piece, as cutting makes them.
     """
-    cells = [F.lit(x) for name, s in sentences.items() for x in (piece(s), name)]
-    return F.create_map(*cells)
+    return {max((reduced(p) for p in re.split(END, s)), key=len): name for name, first in sentences.items() for s in (first, *VARIANTS.get(name, []))}
 
 
-def piece(sentence: str) -> str:
-    """The longest piece of a sentence, as cutting makes them."""
-    return max((reduced(p) for p in re.split(END, sentence)), key=len)
+def known(sentences: dict[str, str]) -> Column:
+    """The map from a known sentence, cut and reduced, to its identifier."""
+    return F.create_map(*(F.lit(x) for pair in forms(sentences).items() for x in pair))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list = RULES, gap: int = GAP) -> DataFrame:
@@ -117,7 +179,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list = R
     place and identifier; licenses are the sorted names of the rules that match."""
     table_ = known(sentences)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cut = F.when(F.col("text").rlike(WORDS), F.split("text", END)).otherwise(F.array().cast("array<string>"))
+    # (?d): only \n ends a line, as in SQL.
+    cut = F.when(F.col("text").rlike(WORDS), F.split(F.regexp_replace("text", "(?imd)" + OWNED, ""), END)).otherwise(F.array().cast("array<string>"))
 
     def found(sentence: Column, place: Column) -> Column:
         """The sentence's identifier, or else those of its lines."""
@@ -153,11 +216,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known_ = ", ".join(f"({quote(piece(s))}, {quote(name)})" for name, s in SENTENCES.items())
+    known_ = ", ".join(f"({quote(piece)}, {quote(name)})" for piece, name in forms(SENTENCES).items())
     clean = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' ')"
     cases, drops = [], {}
     for name, ids, longer in RULES:
-        pattern = "[^|]* ".join(f" {i} " if k == 0 else f"{i} " for k, i in enumerate(ids)).replace("  ", " ")
+        pattern = " " + "([^|]* )?".join(f"{i} " for i in ids)
         cases.append(f"select doc_id, rid, {quote(name)} l from seq where regexp_matches(s, {quote(pattern)})")
         if longer:
             drops[name] = longer
@@ -168,7 +231,7 @@ with known(k, id) as (values {known_}),
 d as (select row_number() over () rid, doc_id, coalesce(text, '') text from documents),
 s1 as (
   select rid, unnest(c) s, generate_subscripts(c, 1) place
-  from (select rid, string_split_regex(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(30), 'g'), '\x1e|\n[ \t\r]*\n') c
+  from (select rid, string_split_regex(regexp_replace(regexp_replace(text, {quote("(?im)" + OWNED)}, '', 'g'), '([.!?])[ \t\n\x0b\f\r]+|(:)[ \t\r]*\n', '\1\2' || chr(30), 'g'), '\x1e|\n[ \t\r]*(?:[#*/;%!|-]+[ \t\r]*)*\n') c
         from d where regexp_matches(text, {quote(WORDS)}))),
 s2 as (select s1.*, known.id from s1 left join known on {clean.format("s")} = known.k),
 lines as (
