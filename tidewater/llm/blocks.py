@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ints, keyed, shared_dir, shuffle_partitions, utf8
+from .common import ints, keyed, scratch, shuffle_partitions, utf8
 
 MESSAGES = "part long, block long, body binary"
 #: Stands between texts; no UTF-8 text holds this byte.
@@ -86,9 +86,11 @@ def packed(docs: DataFrame, length: int, block_bytes: int, lang: str | None = No
     spark = docs.sparkSession
     name = f"tidewater_blocks_{uuid.uuid4().hex}"
     blocks = keyed(docs, F.col(lang).cast("string").alias("lang") if lang else F.lit(None).cast("string").alias("lang")).mapInArrow(_pack(length, block_bytes), BLOCKS)
-    path = f"{shared_dir(spark)}/tidewater/{name}"
+    path = f"{scratch(spark)}/{name}"
     blocks.write.bucketBy(shuffle_partitions(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the catalog's entry only: the files are read by those who hold the table
+    return table
 
 
 class Buckets:

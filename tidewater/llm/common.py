@@ -23,17 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/tidewater/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application's operators have written, once their results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/tidewater/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,6 +64,25 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int, *columns) -> pa.Table:
+    """(h, dk, label, th, text, the columns) of at most fit_rows labelled texts of fit_bytes bytes in all.
+
+    labels: doc_id, label. Those with the least hash of doc_id are taken, in this order, up to the first with which
+    the texts are too large; a text and label that are repeated count once, as do repeated label rows.
+    """
+    spark, order = docs.sparkSession, ["h", "dk", "label", "th"]
+    some = labels.select(F.col("doc_id").cast("long").alias("dk"), "label").where("dk is not null and label is not null").distinct()
+    some = some.withColumn("h", F.xxhash64("dk")).orderBy("h", "dk", "label").limit(fit_rows)
+    rows = keyed(docs, *columns).join(F.broadcast(some), "dk").withColumn("th", F.xxhash64("text"))
+    sizes = rows.select(*order, F.octet_length("text").cast("long").alias("n")).distinct().orderBy(*order).limit(fit_rows)
+    sizes = sizes.toArrow()  # at most fit_rows rows of five small columns
+    count = int((np.cumsum(sizes.column("n").to_numpy()) <= fit_bytes).sum())
+    names = [f.name for f in rows.schema if f.name not in (*order, "text")]
+    wanted = spark.createDataFrame(sizes.select(["dk", "label", "th"]).slice(0, count).to_pandas(), f"dk long, label {some.schema['label'].dataType.simpleString()}, th long")
+    found = rows.join(F.broadcast(wanted), ["dk", "label", "th"]).groupBy(*order).agg(*(F.first(c).alias(c) for c in ("text", *names)))
+    return found.toArrow().combine_chunks().sort_by([(c, "ascending") for c in order])
+
+
 def real_id(column: str = "dk"):
     """dk back to doc_id."""
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias("doc_id")

@@ -1,28 +1,35 @@
 """Mixing to target weights by soft membership: rates for documents, not for sources.
 
-A classifier fitted on a labelled table gives every document its posterior probability of each domain.
-Document d with w_d tokens and rate r_d adds w_d r_d p_dk expected tokens to domain k. The rates are those
-from 0 to `most` that bring these totals to the targets t_k and change least, the minimum of
+A classifier fitted on a labelled table gives every document its posterior probability of each domain. Domains
+are whatever the labelled table names; the registered query takes clean, low and toxic from `labels`, since the
+sources of `documents` cannot be told apart by their text. Document d with w_d tokens and rate r_d adds
+w_d r_d p_dk expected tokens to domain k. Nonnegative rates are sought whose totals match the targets t_k in
+least squares and which change least, the minimum of
 
     1/2 sum_k ((sum_d w_d r_d p_dk - t_k) / T)^2  +  RIDGE/2 sum_d (w_d / T) (r_d - 1)^2
 
-with a RIDGE so small that it decides only between rates of equal totals. Its dual has one number a domain:
-r_d = clip(1 - sum_k p_dk x_k, 0, most), and Newton steps on x need the totals and their derivatives only. So an
-iteration is one pass over the narrow table of posteriors, which tries several lengths of the step at once. It
-ends when every total is within CLOSE (of all tokens) of its target; if none gets there, there is a warning with
-the totals reached. The driver holds a few numbers a domain, never documents.
+with a RIDGE so small that it decides only between rates of equal totals.
 
-Where rates above 1 cannot be used (most = 1), the size of the result is left free and only its shares are given:
-p_dk - (target share of k) takes the place of p_dk, and 0 that of t_k.
+This is projected gradient descent. The gradient of a rate is sum_k p_dk e_k, e_k the residual of total k, so all
+steps taken so far add up to one number x_k a domain, and the projected rates are r_d = max(0, 1 - sum_k p_dk x_k).
+An iteration is one pass over the narrow table of posteriors, which sums the totals of the projected rates and
+the Gram matrix of the domains, by which the step is scaled (small domains would else take very many steps), and
+tries several lengths of the step at once. It ends when every total is within CLOSE (of all tokens) of its target;
+where none gets there (no nonnegative rates may exist) there is a warning with what is left, and `reached` gives
+targets and totals as a table. The driver holds a few numbers a domain, never documents.
+
+Rates above 1 are whole copies and a draw for the rest (`copies`). Where they cannot be used (most = 1), the
+size of the result is left free and only its shares are given: p_dk - (target share of k) takes the place of
+p_dk, and 0 that of t_k.
 
 The classifier works on words: how much likelier a domain's documents have a word (by hashed bucket) or a
 word of that shape (case and marks), as mean and maximum over the text, weighed by a softmax layer. It is
-fitted in numpy on at most `fit_rows` labelled rows, those with the least hash of doc_id.
+fitted in numpy on at most `fit_rows` labelled rows of `fit_bytes` bytes in all, those with the least hash of doc_id.
 
 Defined cases: a null or empty text has no tokens and rate 1; label rows without doc_id or domain, or
 without a document, do not count; without labelled rows, or with one domain only, posteriors are the
 domains' shares (equal ones without any rows) and rates are 1; rows without doc_id are weighed
-too; repeated rows each get a result; extra columns are ignored; empty tables give an empty result.
+too; repeated rows each get a result (and are fitted on once); extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, table, written
+from .common import keyed, labelled_sample, real_id, table, written
 from .word_features import numbers, plain, tokens
 
-FIT_ROWS, BUCKETS, SHAPES, RIDGE, STEPS, CLOSE = 4000, 1 << 17, 1 << 12, 1e-6, 40, 1e-4
-#: Lengths of a Newton step that one pass tries.
+FIT_ROWS, BUCKETS, SHAPES, RIDGE, STEPS, CLOSE = 4000, 1 << 17, 1 << 12, 1e-6, 200, 1e-4
+#: Bytes of text to fit on.
+FIT_BYTES = 1 << 25
+#: Lengths of a step that one pass tries.
 LENGTHS = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001]
-#: A rate of so much counts as 1 when documents are drawn.
-WHOLE = 0.9
 
 #: Domains of op4 and the pipeline, from the columns of labels, and their target weights.
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 0 then 'low' when quality = 1 then 'clean' end"
@@ -103,14 +110,11 @@ def _softmax_fit(x: np.ndarray, label: np.ndarray, k: int, steps: int = 400, rat
     return w
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_rows: int = FIT_ROWS) -> Classifier:
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Classifier:
     """A classifier of docs; labelled: doc_id, domain."""
-    some = labelled.select(F.col("doc_id").cast("long").alias("dk"), F.col("domain").cast("string").alias("domain")).where(F.col("dk").isNotNull() & F.col("domain").isin(domains))
-    some = some.withColumn("h", F.xxhash64("dk")).orderBy("h", "dk", "domain").limit(fit_rows)
-    # At most fit_rows rows of three small columns.
-    got = keyed(docs).join(F.broadcast(some), "dk").select("h", "dk", "domain", "text").toArrow().combine_chunks()
-    got = got.sort_by([(c, "ascending") for c in ("h", "dk", "domain", "text")])
-    label = np.array([domains.index(d) for d in got.column("domain").to_pylist()], np.int64)
+    some = labelled.select("doc_id", F.col("domain").cast("string").alias("label")).where(F.col("label").isin(domains))
+    got = labelled_sample(docs, some, fit_rows, fit_bytes)
+    label = np.array([domains.index(d) for d in got.column("label").to_pylist()], np.int64)
     share = np.bincount(label, minlength=len(domains)) / len(label) if len(label) else np.full(len(domains), 1 / len(domains))
     model = Classifier(domains, share)
     if len(np.unique(label)) < 2:
@@ -160,11 +164,6 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(run, "dk long, th long, n_tokens long, " + ", ".join(f"`{c}` double" for c in names))
 
 
-def rate_of(p: np.ndarray, x: np.ndarray, most: float) -> np.ndarray:
-    """Rates of documents with posteriors p at the dual point x."""
-    return np.clip(1 - p @ x, 0, most)
-
-
 def rates(found: DataFrame, weights: dict[str, float], anchor: str | None = None, ridge: float = RIDGE, most: float = np.inf) -> DataFrame:
     """found (from posteriors, written) with the column rate.
 
@@ -180,6 +179,7 @@ def rates(found: DataFrame, weights: dict[str, float], anchor: str | None = None
     k, x = len(names), np.zeros(len(names))
 
     def features(batch: pa.RecordBatch) -> np.ndarray:
+        """What a token of each document adds to the totals."""
         p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
         return p - share if free else p
 
@@ -221,14 +221,14 @@ def rates(found: DataFrame, weights: dict[str, float], anchor: str | None = None
             results = measures(tried)
             best = min(range(len(tried)), key=lambda j: results[j][0])
             if results[best][0] >= value:
-                break
+                break  # rounding: no length of the step gains anything
             x, (value, down, second, apart) = tried[best], results[best]
         if np.abs(apart).max() >= CLOSE:
             warnings.warn(f"mixing: totals differ from their targets by {dict(zip(weights, apart.round(5).tolist()))} of all tokens", stacklevel=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = np.where(batch.column("n_tokens").to_numpy() > 0, rate_of(features(batch), x, most), 1.0)
+            rate = np.where(batch.column("n_tokens").to_numpy() > 0, np.clip(1 - features(batch) @ x, 0, most), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
@@ -244,11 +244,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ancho
     return rates(written(found), weights, anchor, most=most)
 
 
-def copies(rate: str = "rate", whole: float = WHOLE):
-    """How often to take a document: its rate rounded up or down by a hash of (dk, th); from `whole` on, once at least."""
+def reached(rated: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(domain, target, share): the target share of each domain and its share of the expected tokens at these rates."""
+    share = {d: x / sum(weights.values()) for d, x in weights.items()}
+    tokens_ = F.col("n_tokens") * F.col("rate")
+    sums = rated.agg(F.sum(tokens_).alias("all"), *(F.sum(tokens_ * F.col(f"`p_{d}`")).alias(f"s_{d}") for d in weights))
+    each = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(x).alias("target"), (F.col(f"`s_{d}`") / F.col("all")).alias("share")) for d, x in share.items()))
+    return sums.select(F.inline(each))
+
+
+def copies(rate: str = "rate"):
+    """How often to take a document: its rate rounded up or down by a hash of (dk, th), so that rates hold on average."""
     draw = F.pmod(F.xxhash64("dk", "th"), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col(rate) + draw)
-    return F.when(F.col(rate) >= whole, F.greatest(times, F.lit(1))).otherwise(times).cast("int")
+    return F.floor(F.col(rate) + draw).cast("int")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
