@@ -488,3 +488,50 @@ def test_license_sql_on_headers(spark):
     want = {r[0]: r[1:] for r in duck.sql(licenses.OP7_SQL).fetchall()}
     got = {r["doc_id"]: (len(r["matches"]), " ".join(m["id"] for m in r["matches"]), ",".join(r["licenses"])) for r in licenses.scan(docs).collect()}
     assert got == want
+
+
+def test_fits_are_bounded_and_count_repeats_once(spark):
+    """Repeated label rows and repeated documents add nothing to a fit; fit_rows and fit_bytes bound it."""
+    from tidewater.llm.common import labelled_sample
+
+    docs = documents(spark, ["a" * 10] * 40 + [None]).union(documents(spark, ["a" * 10] * 40))
+    labels = spark.createDataFrame([(i % 45, i % 2) for i in range(180)] + [(None, 1), (1, None), (40, 1)], "doc_id long, label int")
+    got = labelled_sample(docs, labels, 1000, 1 << 20)
+    assert got.num_rows == len({(r["dk"], r["label"]) for r in got.to_pylist()}) == 82
+    assert labelled_sample(docs, labels, 30, 1 << 20).num_rows <= 30
+    assert sum(map(len, labelled_sample(docs, labels, 1000, 95).column("text").to_pylist())) <= 95
+    assert labelled_sample(docs, labels.limit(0), 1000, 95).num_rows == 0
+
+
+def test_toxicity_scores_equal_a_plain_network(spark):
+    """Each score recomputed word by word from the net's weights."""
+    rng = random.Random(16)
+    words = ["".join(rng.choices("aeioustn", k=4)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30)) + (["nasty"] if i % 3 == 0 else [])) for i in range(90)] + [None, "", "one", "  \n "]
+    docs = documents(spark, texts)
+    net = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, net).collect()}
+    for i, t in enumerate(texts):
+        x = [np.concatenate([net.tables[0][a], net.tables[1][b]]).astype(float) for a, b in map(toxicity.key, (t or "").split())]
+        pooled = []
+        for j, span in enumerate(toxicity.SPANS):
+            for f in range(toxicity.FILTERS):
+                at = [sum(x[p + k] @ net.filters[j][k, :, f] for k in range(span) if p + k < len(x)) + net.bias[j * toxicity.FILTERS + f] for p in range(len(x))]
+                pooled.append(max([0.0, *at]))
+        z = float(np.dot(pooled, net.out)) + float(net.shift)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), abs_tol=1e-4)
+    assert toxicity.scored(docs.limit(0), net).count() == 0
+
+
+def test_mixing_of_repeats_keeps_wanted_documents(spark):
+    """Clean documents keep rates near 1 or above; repeated rows share one rate."""
+    rng = random.Random(15)
+    words = {"clean": ["sun", "sea", "sand"], "low": ["zzz", "qqq", "www"], "toxic": ["BAD!!", "awful", "worse"]}
+    domain = ["low" if i % 8 == 0 else "toxic" if i % 8 == 1 else "clean" for i in range(400)]
+    docs = documents(spark, [" ".join(rng.choices(words[d], k=30)) for d in domain])
+    labelled = spark.createDataFrame(list(enumerate(domain)) * 2, "doc_id long, domain string")
+    rows = mixing.mixed(docs.union(docs), labelled, mixing.WEIGHTS, "clean").collect()
+    assert len(rows) == 800 and len({(r["dk"], r["rate"]) for r in rows}) == 400
+    assert min(r["rate"] for r in rows if domain[r["dk"]] == "clean") > 0.97
+    frame = spark.createDataFrame(rows)
+    assert all(abs(r["share"] - r["target"]) < 5e-4 for r in mixing.reached(frame, mixing.WEIGHTS).collect())
