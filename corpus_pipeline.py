@@ -2,7 +2,8 @@
 
 Stages but the last return the columns of documents (and any others they were given); n_chars follows
 the text. Each stage defines null texts and ids, empty tables and repeated rows as its operator does:
-rows without doc_id pass, except that of those in one near-duplicate group one stays.
+rows without doc_id pass, except that of those in one near-duplicate group one stays and that mixing draws
+them as it draws others.
 """
 
 from __future__ import annotations
@@ -46,10 +47,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their rates, each once at most, since copies have just been removed."""
+    """Documents drawn at their rates: none, one or more copies of each. The clean domain has as many tokens as before."""
     labelled = table(spark, sf_dir, "labels").select("doc_id", F.expr(mixing.DOMAIN).alias("domain"))
-    found = mixing.mixed(docs, labelled, mixing.WEIGHTS, most=1.0)
-    return only(docs, found.where(mixing.copies() < 1), "left_anti")
+    found = mixing.mixed(docs, labelled, mixing.WEIGHTS, "clean")
+    rows, dk, th = marked(docs)
+    drawn = found.where(mixing.copies() > 0).groupBy(F.col("dk").alias(dk), F.col("th").alias(th)).agg(F.max(mixing.copies()).alias(f"{th}_n"))
+    times = F.explode(F.sequence(F.lit(1), F.col(f"{th}_n"))).alias(f"{th}_i")
+    return rows.join(drawn, [dk, th]).select("*", times).select(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
