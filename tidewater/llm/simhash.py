@@ -15,12 +15,14 @@ each other on 128 further bits are candidates, and a candidate counts if the exa
 the two sets of hashed shingles is high enough. A pair of similarity 0.8 has about 15 % of differing
 bits: a table finds it with a chance of about 0.37, twelve tables with 0.996, and radius 32 lets 0.999 pass.
 A bucket first emits only the shortest forest of its candidates. Candidates which that leaves out can
-matter only between classes that a refuted edge joined, so those classes alone are dealt out again
-and emit every pair across.
+matter only between classes that a refuted edge joined. What refuted edges connect is compared again, across
+classes only and block by block: the members of the largest class lie in one block each, and those of the others,
+which are few, come to all blocks. There all bits of the sketch (896 in place of 128) tell which pairs are possible;
+these are verified in place, on the sets that come along, and only links leave the task.
 
 Buckets do not emit all their pairs: a bucket's links are reduced to a forest in place, at most one
 edge a member. A bucket above `block` members is dealt to pairs of blocks of that size, each a group
-of its own, so no task gets an unbounded group. Equal fingerprints are one node throughout.
+of its own that compares across the two, so no task gets an unbounded group. Equal fingerprints are one node throughout.
 
 Defined cases: a null text is empty; a text with fewer words than a shingle is one shingle, without
 words its fingerprint is zero (and links like any other); repeated rows each get a result; rows
@@ -223,9 +225,7 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             found = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"))):
                 a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if len(a) and len(b):
-                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                    found[i] = both / (len(a) + len(b) - both) >= similarity
+                found[i] = bool(len(a) and len(b)) and _jaccard(a, b) >= similarity
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "alike"])
 
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("u", "a"), ("v", "b")))
@@ -304,7 +304,7 @@ def _linked(compare: list[str], radius: int, emit: str = "roots"):
     """Per bucket (rows arrive sorted by bucket): edges of its links.
 
     emit: "roots" for an edge from every linked member to its component's first, "forest" for the
-    shortest links that connect as much, "across" for all links whose ends differ in the column class.
+    shortest links that connect as much.
     """
     ids = ["key", "s", "t"]
 
@@ -321,19 +321,20 @@ def _linked(compare: list[str], radius: int, emit: str = "roots"):
             at = at[run[at] == run[at + step]]
             if not len(at):
                 break
-            apart = sum(np.bitwise_count((cols[c][at] ^ cols[c][at + step]).view(np.uint64)).astype(np.int64) for c in compare)
+            # Within one block, or between the two of a pair: what lies inside a block is compared there.
+            some = at[(cols["s"][at] == cols["t"][at]) | (cols["own"][at] != cols["own"][at + step])]
+            apart = np.zeros(len(some), np.int64)
+            for c in compare:
+                apart += np.bitwise_count((cols[c][some] ^ cols[c][some + step]).view(np.uint64))
             near = apart <= radius
-            if emit == "across":
-                near &= cols["class"][at] != cols["class"][at + step]
             if near.any():
-                links.append((at[near].astype(np.int32), (at[near] + step).astype(np.int32), apart[near].astype(np.uint8)))
+                links.append((some[near].astype(np.int32), (some[near] + step).astype(np.int32), apart[near].astype(np.uint16)))
             step += 1
         node = cols["node"]
-        if emit != "roots":
+        if emit == "forest":
             a, b, d = (np.concatenate(x) for x in zip(*links)) if links else (np.empty(0, np.int32),) * 3
-            if emit == "forest":
-                some = shortest_forest(n, a, b, d)
-                a, b = a[some], b[some]
+            some = shortest_forest(n, a, b, d)
+            a, b = a[some], b[some]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
         if links:
             root = forest(n, np.concatenate([x for x, _, _ in links]), np.concatenate([x for _, x, _ in links]))
@@ -344,7 +345,7 @@ def _linked(compare: list[str], radius: int, emit: str = "roots"):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        names = [*ids, *dict.fromkeys([*compare, "node", *(["class"] if emit == "across" else [])])]
+        names = [*ids, "own", *dict.fromkeys([*compare, "node"])]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -367,7 +368,7 @@ def _linked(compare: list[str], radius: int, emit: str = "roots"):
 def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str], radius: int, block: int = BLOCK, emit: str = "roots") -> DataFrame:
     """Edges (u, v) that connect all nodes which share a bucket and lie within radius (emit as for _linked).
 
-    prints: node and fingerprint columns, one row a node; with class for emit "across".
+    prints: node and fingerprint columns, one row a node.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +379,7 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
                 row, key = keys(words)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(ints(part.column(c))[row]) for c in carried)], ["key", *carried])
 
-    carried = list(dict.fromkeys(["node", *compare, *(["class"] if emit == "across" else [])]))
+    carried = list(dict.fromkeys(["node", *compare]))
     parts = max(shuffle_partitions(prints.sparkSession), -(-prints.count() // SPREAD_ROWS))
     rows = prints.repartition(parts, "node").mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in carried))
     large = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -387,12 +388,104 @@ def linked(prints: DataFrame, keys, key_columns: list[str], compare: list[str],
         rows.join(written(large), "key", "left")
         .withColumn("own", F.coalesce(own, F.lit(0)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        .select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), *carried)
+        .select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", *carried)
     )
     order = ["key", "s", "t"]
     return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_linked(compare, radius, emit), "u long, v long").distinct()
 
 
+#: Members and bytes of shingle sets of a block that is compared across classes.
+ACROSS, ACROSS_BYTES = 1024, 16 << 20
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values, neither empty."""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _crossed(columns: list[str], radius: int, similarity: float):
+    """Per group (key, kind, s, t; rows arrive sorted): links (u, v) between classes, as many as connect what is linked there."""
+    ids, names = ["key", "kind", "s", "t"], ["node", "class", "own", *columns]
+
+    def settle(cols: dict[str, np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        prints = np.stack([cols[c] for c in columns], axis=1).view(np.uint64)
+        klass, own, node = cols["class"], cols["own"], cols["node"]
+        root: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+
+        def of(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        inner = cols["kind"][0] == 1 and cols["s"][0] == cols["t"][0]
+        right = np.arange(len(node)) if inner else np.nonzero(own == 1)[0]
+        left = np.arange(len(node)) if inner else np.nonzero(own == 0)[0]
+        for j in right.tolist():
+            some = left[: j if inner else len(left)]
+            some = some[klass[some] != klass[j]]
+            apart = np.bitwise_count(prints[some] ^ prints[j]).sum(axis=1, dtype=np.int64)
+            for i in some[apart <= radius].tolist():
+                p, q = of(int(klass[i])), of(int(klass[j]))
+                if p != q and len(sets[i]) and len(sets[j]) and _jaccard(sets[i], sets[j]) >= similarity:
+                    root[q] = p
+                    found.append((max(node[i], node[j]), min(node[i], node[j])))
+        u, v = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sets = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {c: ints(batch.column(c)) for c in [*ids, *names]}
+            more = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ids], axis=0)
+            if held is not None:
+                new[0] = any(cols[c][0] != held[c][-1] for c in ids)
+            starts = np.nonzero(new)[0].tolist()
+            for a, b in zip([0, *starts], [*starts, batch.num_rows]):
+                if a == b:
+                    continue
+                if a in starts and held is not None:
+                    yield settle(held, sets)
+                    held, sets = None, []
+                piece = {c: x[a:b] for c, x in cols.items()}
+                held = piece if held is None else {c: np.concatenate([held[c], piece[c]]) for c in piece}
+                sets += more[a:b]
+        if held is not None:
+            yield settle(held, sets)
+
+    return run
+
+
+def across(rows: DataFrame, columns: list[str], radius: int, similarity: float) -> DataFrame:
+    """(u, v): links between classes of one key, of rows (key, node, class, sketch columns, hashes), verified on the sets.
+
+    Every pair of different classes is compared. The largest class of a key is never compared with itself, so its members are
+    dealt to blocks of their own; those of other classes come to every such block, and to pairs of blocks among themselves.
+    """
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    top = F.max(F.struct("n", "bytes", "class")).alias("top")
+    whole = sizes.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / ACROSS), F.ceil(size / ACROSS_BYTES)).cast("int")
+    whole = written(whole.select("key", F.col("top.class").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("hosts"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("guests")))
+    rows = rows.join(whole, "key").withColumn("host", F.col("class") == F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda kind, s, t, own: F.struct(F.lit(kind).alias("kind"), s.alias("s"), t.alias("t"), own.alias("own"))
+    hosted = F.transform(upto("guests"), lambda g: group(0, place("hosts"), g, F.lit(0)))
+    guest = F.concat(
+        F.transform(upto("hosts"), lambda h: group(0, h, place("guests"), F.lit(1))),
+        F.transform(upto("guests"), lambda g: group(1, F.least(place("guests"), g), F.greatest(place("guests"), g), (place("guests") > g).cast("int"))),
+    )
+    dealt = rows.select("key", "node", "class", "hashes", *columns, F.explode(F.when(F.col("host"), hosted).otherwise(guest)).alias("g")).select("key", "g.*", "node", "class", "hashes", *columns)
+    order = ["key", "kind", "s", "t"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_crossed(columns, radius, similarity), "u long, v long").distinct()
+
+
 def _classes(prints: DataFrame, columns: list[str], keys, key_columns: list[str], compare: list[str], radius: int) -> DataFrame:
     """(doc_id, the fingerprint columns, component_id): prints is a written table of doc_id and fingerprints."""
     node = F.xxhash64(*columns) if len(columns) > 1 else F.col(columns[0])
@@ -422,10 +515,7 @@ def similar_classes(docs: DataFrame, words: int = 5, seed: int = 42, similarity:
     place = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("dk"), "th")).alias("place")
     single = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), place, *(F.first(c).alias(c) for c in columns)))
 
-    def edges(rows: DataFrame, emit: str) -> DataFrame:
-        return linked(rows, table_keys(tables, skip), columns, columns[:skip], radius, BLOCK // 2, emit)
-
-    tree = written(edges(single, "forest"))
+    tree = written(linked(single, table_keys(tables, skip), columns, columns[:skip], radius, BLOCK // 2, "forest"))
     ends = tree.select(F.col("u").alias("node")).union(tree.select("v")).distinct()
     sets = written(shingle_sets(docs, written(single.join(ends, "node").select("node", "place.dk", "place.th")), words, seed))
     tested = written(verified(tree, sets, similarity))
@@ -434,12 +524,15 @@ def similar_classes(docs: DataFrame, words: int = 5, seed: int = 42, similarity:
     refuted = tested.where("not alike")
     for n in ("u", "v"):
         refuted = refuted.join(classes.select(F.col("node").alias(n), F.col("root").alias(f"of_{n}")), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
-    refuted = written(refuted.where("of_u != of_v").select("of_u", "of_v"))
+    refuted = written(refuted.where("of_u != of_v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
     if not refuted.isEmpty():
-        open_ = refuted.select(F.col("of_u").alias("class")).union(refuted.select("of_v")).distinct()
-        rows = single.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).join(open_, "class", "left_semi")
-        more = edges(written(rows.select("node", "class", *columns)), "across").join(tree, ["u", "v"], "left_anti")
-        late = written(verified(written(more), sets, similarity).where("alike").select("u", "v"))
+        open_ = written(components(refuted)).select(F.col("node").alias("class"), F.col("root").alias("key"))
+        rows = single.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).join(open_, "class")
+        rows = written(rows.select("key", "node", "class", "place", *columns))
+        bits = 64 * len(columns)
+        near = int(bits * share + 3.2 * (bits * share * (1 - share)) ** 0.5)
+        own = written(shingle_sets(docs, rows.select("node", "place.dk", "place.th"), words, seed))
+        late = written(across(rows.drop("place").join(own, "node"), columns, near, similarity))
         if not late.isEmpty():
             classes = written(components(links.union(late)))
     members = written(single.select("node", "least").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
