@@ -34,7 +34,7 @@ from .blocks import MESSAGES, Buckets, answers, arrays, joined, message, message
 from .common import NULL_ID, real_id, table, written
 
 ORDER, PRIOR, SPREAD, FOLD = 5, 64, 3.0, 8
-BLOCK_BYTES, PART_BYTES, CHUNK = 16 << 20, 4 << 20, 1 << 18
+BLOCK_BYTES, PART_BYTES, CHUNK = 12 << 20, 4 << 20, 1 << 18
 #: Names that a block gathers before it merges equal ones.
 GATHERED = 1 << 20
 #: Slots of a block's table of logarithms.
