@@ -38,6 +38,25 @@ def words(text: Column, least: int = 1, stop: tuple[str, ...] = ()) -> Column:
     return F.array_distinct(F.filter(each, lambda w: (F.length(w) >= least) & ~w.rlike(r"^\d*$") & ~w.isin(*stop) if stop else (F.length(w) >= least) & ~w.rlike(r"^\d*$")))
 
 
+#: Words that say what kind of thing an event is, not which.
+GENERIC_WORDS = [
+    "анонс", "встреча", "действия", "мероприятие", "событие", "концерт", "вечеринка", "туса", "тусовка", "воронеж", "воронеже", "город", "бар", "club", "клуб", "hall", "rock",
+    "авторы", "автор", "новые", "сообщения", "поддержке", "двери", "билеты", "вход", "начало", "старт", "пройдет", "состоится",
+]
+#: Words that do not count.
+STOP_WORDS = [
+    "а", "без", "бы", "в", "вам", "вас", "весь", "во", "вот", "все", "всех", "вы", "где", "для", "до", "его", "ее", "ещё", "же", "за", "и", "из", "или", "им", "их", "к", "как", "когда", "кто", "мы", "на", "над", "нас", "не", "но",
+    "о", "об", "от", "по", "под", "при", "про", "с", "со", "так", "там", "то", "у", "уже", "что", "это", "этот", "эта", "этом", "будет", "будут", "можно", "наш", "наша", "ваш", "ваша", "свой", "свои", "самый", "самая", "очень",
+]
+
+
+def tokens(text: Column, generic: bool = True) -> Column:
+    """Distinct words of 2 letters or more without stop words and, unless asked for, generic ones; links do not count."""
+    gone = STOP_WORDS if generic else STOP_WORDS + GENERIC_WORDS
+    each = F.split(normal(F.regexp_replace(text, r"https?://\S+", " ")), " ")
+    return F.array_distinct(F.filter(each, lambda w: (F.length(w) >= 2) & ~w.isin(*gone)))
+
+
 def translit(text: Column) -> Column:
     """Cyrillic to Latin, lower case."""
     out = F.translate(F.lower(text), "абвгдеёзийклмнопрстуфыэ", "abvgdeezijklmnoprstufye")

@@ -54,7 +54,7 @@ def reservoir(rows: DataFrame, kind: str, key: str, at: str, size: int, seed: in
 
     The draw is a hash of key and seed, so it does not depend on partitions or retries.
     """
-    draw = Window.partitionBy(kind).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    draw = Window.partitionBy(kind).orderBy(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), key)
     some = rows.withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") <= size)
     age = Window.partitionBy(kind).orderBy(F.desc(at), key)
     some = some.withColumn("_age", F.row_number().over(age)).withColumn("_size", F.count("*").over(Window.partitionBy(kind)))

@@ -9,9 +9,10 @@ from ..functions import time
 
 
 def wilson(successes: str, trials: str, z: float = 1.96) -> Column:
-    """Lower bound of the success rate's 95 % interval."""
-    n, p = F.col(trials), F.col(successes) / F.col(trials)
-    return (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    """Lower bound of the success rate's 95 % interval, at least 0; 0 without trials."""
+    n, p = F.col(trials), F.col(successes) / F.nullif(F.col(trials), F.lit(0))
+    low = (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    return F.when(n > 0, F.greatest(F.lit(0.0), low)).otherwise(0.0)
 
 
 def daily(messages: DataFrame, zone: str = time.ZONE) -> DataFrame:

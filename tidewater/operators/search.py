@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,15 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import _jaro, folded, normal
 
-#: Endings that the light stemmer takes off, longest first.
-ENDINGS = ("иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "ой", "ей", "ий", "ый", "ая", "яя", "ое", "ее", "ие", "ые", "ов", "ев", "ам", "ям", "ах", "ях", "ом", "ем", "ую", "юю", "а", "я", "ы", "и", "у", "ю", "е", "о")
+#: Endings that the light stemmer takes off, in the order in which they are tried.
+ENDINGS = [
+    "иями", "ями", "ами", "евами", "овами", "иями", "ого", "его", "ому", "ему", "ыми", "ими", "иях", "ах", "ях", "ов", "ев", "ей", "ий", "ый", "ой", "ая", "яя", "ое", "ее", "ие", "ые",
+    "ую", "юю", "ам", "ям", "ом", "ем", "им", "ым", "их", "ых", "ою", "ею", "ы", "и", "а", "я", "у", "ю", "е", "о", "ь",
+]
 POINTS = {"exact": 6.0, "stem": 3.2, "prefix": 1.8}
 
 
 def stem(word: Column) -> Column:
-    """Words of 5 letters or more lose their longest known ending, if 4 letters stay."""
-    bare = F.regexp_replace(word, rf"^(.{{4,}}?)({'|'.join(ENDINGS)})$", "$1")
-    return F.when((F.length(word) < 5) | word.rlike(r"\d|^@"), word).otherwise(bare)
+    """Words of 5 letters or more, without digits, lose the first of the endings after which 4 letters stay."""
+    out = word
+    for ending in reversed(ENDINGS):
+        left = F.length(word) - len(ending)
+        out = F.when(F.endswith(word, F.lit(ending)) & (left >= 4), F.substr(word, F.lit(1), left)).otherwise(out)
+    return F.when((F.length(word) < 5) | word.rlike(r"\d|^@"), word).otherwise(out)
 
 
 def rank(rows: DataFrame, question: str, limit: int = 5, least: float = 8.0) -> DataFrame:
@@ -37,7 +44,10 @@ def rank(rows: DataFrame, question: str, limit: int = 5, least: float = 8.0) ->
     texts = rows.select("id", "created_at", normal(F.col("text")).alias("text"))
     words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
     wanted = spark.createDataFrame([(w,) for w in asked], "asked string").select("asked", stem(F.col("asked")).alias("asked_stem"))
-    # The question is a handful of words; every word meets each, which is a filter, not a join of large sides.
+    # A word matches by itself, its stem or a prefix of 4 letters, and each of these has the first letters of a question word.
+    starts = sorted({w[: min(4, len(w))] for w in asked})
+    words = words.where(F.col("word").isin(asked) | reduce(lambda p, q: p | q, (F.startswith("word", F.lit(x)) for x in starts)))
+    # The question is a handful of words, and what is left meets each: a filter, not a join of large sides.
     kind = (
         F.when(F.col("word") == F.col("asked"), "exact").when(stem(F.col("word")) == F.col("asked_stem"), "stem")
         .when((F.least(F.length("word"), F.length("asked")) >= 4) & (F.startswith("word", "asked") | F.startswith("asked", "word")), "prefix")
@@ -71,9 +81,10 @@ def alias_score(phrase: str, alias: str) -> float:
 
 
 def mentions(rows: DataFrame, aliases: list[str], target: int, least: float = 0.82) -> DataFrame:
-    """(id, score, alias) of the rows (id, sender_id, text) that name the target, not its own.
+    """(id, score, alias) of the rows (id, sender_id, text) that name the target, not its own; rows without a sender count.
 
-    A direct id or @alias counts 1, an exact alias 0.99, else the best 1- to 3-gram above `least`.
+    A direct id or @alias counts 1, an exact alias 0.99, else the best 1- to 3-gram above `least`. A phrase that differs
+    from an alias by more than three letters in length does not match it.
     """
     known = [folded(a) for a in aliases]
     widths = {len(a.split()) for a in known}
@@ -102,4 +113,4 @@ def mentions(rows: DataFrame, aliases: list[str], target: int, least: float = 0.
                     out.append((row, round(best[0], 6), best[1]))
             yield pd.DataFrame(out, columns=["id", "score", "alias"])
 
-    return rows.where(F.col("sender_id") != target).select("id", "text").mapInPandas(run, "id long, score double, alias string")
+    return rows.where(~F.col("sender_id").eqNullSafe(F.lit(target))).select("id", "text").mapInPandas(run, "id long, score double, alias string")

@@ -87,7 +87,7 @@ def last_activity(t: Tables) -> DataFrame:
 @query("a11_reliability", f"""
 with {MESSAGES_SQL}, g as (select peer_id, kind, count(*) n, count_if(reactions >= 50) k, max(created_at) last_at, count(distinct sender_id) origins, sum(value) latency from messages group by all)
 select peer_id, kind, n, k, last_at, origins, round(latency, 2) latency,
-       round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 6) reliability from g
+       round(greatest(0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n)), 6) reliability from g
 """)
 def reliability(t: Tables) -> DataFrame:
     g = t.messages().groupBy("peer_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("reactions") >= 50).alias("k"), F.max("created_at").alias("last_at"), F.countDistinct("sender_id").alias("origins"), F.round(F.sum("value"), 2).alias("latency"))
@@ -97,8 +97,7 @@ def reliability(t: Tables) -> DataFrame:
 @query("a16_content_hash", f"with {MESSAGES_SQL} select peer_id, count(*) n, sha256(string_agg(cmid || chr(1) || sender_id || chr(1) || created_at || chr(1) || kind || chr(10), '' order by cmid)) digest from messages group by all")
 def content_hash(t: Tables) -> DataFrame:
     line = F.concat(F.concat_ws("\u0001", F.col("cmid").cast("string"), F.col("sender_id").cast("string"), F.col("created_at").cast("string"), "kind"), F.lit("\n"))
-    rows = t.messages().select("peer_id", F.struct("cmid", line.alias("line")).alias("x"))
-    return rows.groupBy("peer_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), ""), 256).alias("digest"))
+    return rel.ordered_digests(t.messages(), "peer_id", ["cmid"], line)
 
 
 @query("w2_newest_three", f"with {MESSAGES_SQL} select sender_id, cmid, created_at from (select *, row_number() over (partition by sender_id order by created_at desc, cmid desc) r from messages) where r <= 3")

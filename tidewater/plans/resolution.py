@@ -1,54 +1,147 @@
-"""Queries of entity resolution, on parts and orders read as event records."""
+"""Queries of entity resolution, on orders read as event records."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import resolution as res
 from ..sources.tables import Tables
+from . import sqltext as sql
 from .registry import query
 
 
 def _records(t: Tables) -> DataFrame:
-    """Orders as dated records: the part's words are the title, the customer the participants."""
-    orders = t.orders.where("o_orderkey % 5 = 0")
-    joined = orders.join(t.part, F.col("p_partkey") == F.col("o_orderkey") % 200).join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+    """All orders as dated records, spread over all parts: the part is title and venue, the customer the participants; every fiftieth day is unknown."""
+    parts = F.broadcast(t.part.agg(F.count("*").alias("_n")))  # one row
+    key = F.col("o_orderkey")
+    joined = t.orders.crossJoin(parts).join(t.part, F.col("p_partkey") == key % F.col("_n")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select(
-        F.col("o_orderkey").alias("id"),
-        F.to_date("o_orderdate").alias("day"),
+        key.alias("id"),
+        F.when(key % 50 != 7, F.to_date("o_orderdate")).alias("day"),
         F.lower("p_name").alias("title"),
-        F.lower("p_type").alias("description"),
+        F.lower(F.concat_ws(" ", "p_type", "o_orderpriority", "p_name")).alias("description"),
         F.lower(F.coalesce("c_name", F.lit(""))).alias("participants"),
         F.lower("p_brand").alias("venue"),
-        (F.col("o_orderkey") * 7 % 1440).cast("int").alias("minute"),
+        F.when(key % 10 != 3, key * 7 % 48 * 30).cast("int").alias("minute"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://a.example/"), F.col("o_custkey").cast("string"))).otherwise("").alias("url"),
+        F.when(key % 4 == 0, F.concat(F.lit("https://b.example/"), (F.col("o_custkey") % 40).cast("string"))).otherwise("").alias("link"),
+        F.when(key % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("publisher"),
         F.when(F.col("o_orderstatus") == "F", "tickets").when(F.col("o_orderstatus") == "O", "primary").otherwise("other").alias("source"),
-        F.lit("").alias("link"),
         F.col("o_totalprice").alias("richness"),
-        F.split(F.lower("p_type"), " ").alias("tokens"),
+        tx.words(F.col("p_name"), 4).alias("tokens"),
     )
 
 
-RECORDS = """r as (select o_orderkey id, o_orderdate::date d, lower(p_name) title, string_split(lower(p_type), ' ') tokens
- from orders join part on p_partkey = o_orderkey % 200 left join customer on c_custkey = o_custkey where o_orderkey % 5 = 0)"""
-
-
-@query("e6_blocking_keys", f"with {RECORDS}, k as (select distinct id, d, unnest(list_append(tokens, title)) key from r), c as (select key from k group by key having count(*) <= 300) select key, id from k where key in (select key from c)")
+RECORDS = f"""
+r as (
+  select o_orderkey id, case when o_orderkey % 50 <> 7 then o_orderdate::date end d, lower(p_name) title, lower(p_type || ' ' || o_orderpriority || ' ' || p_name) description,
+    lower(coalesce(c_name, '')) participants, lower(p_brand) venue, case when o_orderkey % 10 <> 3 then (o_orderkey * 7 % 48 * 30)::int end as minute,
+    case when o_orderkey % 3 = 0 then 'https://a.example/' || o_custkey else '' end url, case when o_orderkey % 4 = 0 then 'https://b.example/' || (o_custkey % 40) else '' end link,
+    case when o_orderkey % 2 = 0 then o_orderpriority else '' end publisher
+  from orders join part on p_partkey = o_orderkey % (select count(*) from part) left join customer on c_custkey = o_custkey),
+n as (select id, d, {sql.normal("title")} title, {sql.normal("description")} description, {sql.normal("participants")} participants, {sql.normal("venue")} venue, minute, url, link, publisher from r),
+k as (
+  select distinct id, d, unnest(list_concat(
+    list_filter(['title:' || title, 'venue:' || venue, 'participant:' || participants, 'url:' || regexp_replace(url, '/+$', '')], lambda x: length(x) - position(':' in x) >= 2),
+    list_transform({sql.words("title", 3)}, lambda w: 'word:' || w))) key from n),
+useful as (
+  select * from k where key in (
+    select key from k group by key having count(*) <= case when key like 'url:%' then 80 when key like 'title:%' then 60
+      else greatest(24, least(120, ceil(4 * sqrt((select count(*) from n))))) end)),
+w as (select id, d, unnest({sql.words("title", 3)}) word from n where d is not null),
+sparse as (select id, d from n where d is not null and id not in (select id from useful))"""
+
+
+def _candidates(days: int) -> str:
+    return f"""
+pairs as (
+  select least(x.id, y.id) a, greatest(x.id, y.id) b from useful x join useful y on x.key = y.key and x.id < y.id and abs(x.d - y.d) <= {days}
+  union select least(x.id, y.id), greatest(x.id, y.id) from w x join w y on x.d = y.d and x.word = y.word and x.id < y.id
+  union select least(x.id, y.id), greatest(x.id, y.id) from n x join n y on x.d = y.d and x.participants = y.participants and x.participants <> '' and x.id < y.id
+  union select least(x.id, y.id), greatest(x.id, y.id) from sparse x join n y on x.d = y.d and x.id <> y.id
+  union select least(x.id, y.id), greatest(x.id, y.id) from useful x join useful y on x.key = y.key and x.d is null and x.id <> y.id)"""
+
+
+@query("e6_blocking_keys", f"with {RECORDS} select key, id from useful")
 def blocking(t: Tables) -> DataFrame:
-    return res.blocks(_records(t), F.array_append("tokens", F.col("title")), F.lit(300)).select("key", "id")
+    return res.blocks(_records(t)).select("key", "id")
 
 
-@query("j12_candidate_pairs", f"with {RECORDS}, k as (select distinct id, d, unnest(tokens) key from r), c as (select key from k group by key having count(*) <= 300), b as (select * from k where key in (select key from c)) select distinct x.id a, y.id b from b x join b y on x.key = y.key and x.id < y.id and abs(x.d - y.d) <= 2")
+@query("j12_candidate_pairs", f"with {RECORDS}, {_candidates(2)} select a, b from pairs")
 def pairs(t: Tables) -> DataFrame:
-    return res.candidates(res.blocks(_records(t), F.col("tokens"), F.lit(300)))
+    return res.candidates(_records(t))
+
+
+@query("j14_unknown_dates", f"with {RECORDS} select distinct least(x.id, y.id) a, greatest(x.id, y.id) b from useful x join useful y on x.key = y.key and x.d is null and x.id <> y.id")
+def unknown_dates(t: Tables) -> DataFrame:
+    return res.unknown_date_pairs(_records(t))
+
+
+@query("j15_same_day_pairs", f"with {RECORDS}, v as (select id, d, unnest({sql.words('title', 4)}) word from n where d is not null) select distinct x.id a, y.id b from v x join v y on x.d = y.d and x.word = y.word and x.id < y.id")
+def same_day(t: Tables) -> DataFrame:
+    return res.same_day_pairs(_records(t))
 
 
-@query("e2_pair_scores")
+_SIMILAR = f"""
+s as (
+  select a, b, x.d = y.d same_day, x.d is not null and y.d is not null known, x.venue xv, y.venue yv, x.minute xm, y.minute ym, x.publisher xp, y.publisher yp,
+    {sql.text_similarity("x.title", "y.title")} title, {sql.text_similarity("x.description", "y.description")} description,
+    {sql.token_similarity(sql.tokens("x.description"), sql.tokens("y.description"))} ident,
+    {sql.field_similarity("x.participants", "y.participants")} participants, {sql.field_similarity("x.venue", "y.venue")} venue,
+    {sql.time_similarity("x.minute", "y.minute")} tm, (x.url <> '' and x.url = y.url)::int::double src, (x.link <> '' and x.link = y.link)::int::double link,
+    {sql.distinctive("x.title || ' ' || x.participants || ' ' || x.description")} p, {sql.distinctive("y.title || ' ' || y.participants || ' ' || y.description")} q,
+    len(list_intersect({sql.words("x.title", 3)}, {sql.words("y.title", 3)})) > 0 word
+  from pairs join n x on x.id = a join n y on y.id = b),
+c as (select *, len(list_intersect(p, q)) cnt, len(list_intersect(p, q)) / greatest(1, least(len(p), len(q))) held from s)"""
+
+
+@query("e2_pair_scores", f"""
+with {RECORDS}, {_candidates(0)}, {_SIMILAR},
+z as (select *, 0.20 * title + 0.27 * description + 0.14 * participants + 0.10 * venue + 0.12 * tm + 0.04 * src + 0.08 * held + 0.05 * link score from c where same_day)
+select a, b, round(score, 6) score,
+  (link = 1 and tm >= 0.38) or (src = 1 and tm >= 0.38 and (title >= 0.52 or ident >= 0.55 or participants >= 0.62 or cnt >= 2)) or (description >= 0.70 and ident >= 0.62 and tm >= 0.38)
+  or (title >= 0.76 and tm >= 0.56 and (participants >= 0.62 or venue >= 0.62 or description >= 0.46 or cnt >= 2)) or (participants >= 0.80 and venue >= 0.68 and tm >= 0.76)
+  or (tm >= 0.76 and cnt >= 3 and held >= 0.34 and (description >= 0.42 or ident >= 0.48 or title >= 0.35)) or (tm = 1 and ident >= 0.58 and cnt >= 2)
+  or (score >= 0.64 and greatest(title, description, participants, held) >= 0.60 and tm >= 0.38) duplicate
+from z""")
 def scores(t: Tables) -> DataFrame:
     records = _records(t)
-    near = res.candidates(res.blocks(records, F.col("tokens"), F.lit(300)), days=0)
-    joined = near.join(records.alias("x"), F.col("a") == F.col("x.id")).join(records.alias("y"), F.col("b") == F.col("y.id"))
-    return joined.select("a", "b", res.pair_score("x", "y").alias("s")).select("a", "b", F.round("s.score", 6).alias("score"), "s.duplicate")
+    found = res.pair_score(res.beside(res.candidates(records, days=0), records)).where("same_day")
+    return found.select("a", "b", F.round("score", 6).alias("score"), "duplicate")
+
+
+def _joined(records: DataFrame) -> DataFrame:
+    return res.beside(res.candidates(records), records)
+
+
+@query("e5_three_valued", f"""
+with {RECORDS}, {_candidates(2)}, {_SIMILAR},
+e as (
+  select *, {sql.text_similarity("xv", "yv")} ven, xm is null or ym is null or tm >= 0.38 timed,
+    0.40 * (case when same_day then 1 when known then 0 else 0.5 end)::double + 0.36 * title + 0.08 * {sql.text_similarity("xv", "yv")} + 0.08 * participants + 0.04 * description + 0.01 * 0 + 0.03 * tm score,
+    (title >= 0.65)::int + ({sql.text_similarity("xv", "yv")} >= 0.82)::int + (participants >= 0.45)::int + (description >= 0.58)::int anchors
+  from c)
+select a, b,
+  case when known and not same_day then 'different' when same_day and title = 1 and not (xv <> '' and yv <> '' and ven < 0.30) then 'same' when xv <> '' and yv <> '' and ven < 0.30 then 'different'
+    when same_day and title >= 0.96 and timed and (ven >= 0.45 or participants >= 0.45 or description >= 0.45) then 'same'
+    when same_day and participants >= 0.84 and ven >= 0.55 and timed and (title >= 0.45 or description >= 0.52) then 'same' when same_day and score >= 0.85 and anchors >= 2 and timed then 'same'
+    when same_day and word then 'ambiguous' when not known and title >= 0.85 and (ven >= 0.72 or participants >= 0.80) and timed then 'ambiguous' when not known then 'different'
+    when anchors = 0 and score < 0.60 then 'different' when score <= 0.50 then 'different' else 'ambiguous' end verdict,
+  round(case when known and not same_day then 0 when same_day and title = 1 and not (xv <> '' and yv <> '' and ven < 0.30) then 1 when xv <> '' and yv <> '' and ven < 0.30 then 0
+    when same_day and title >= 0.96 and timed and (ven >= 0.45 or participants >= 0.45 or description >= 0.45) then score
+    when same_day and participants >= 0.84 and ven >= 0.55 and timed and (title >= 0.45 or description >= 0.52) then score when same_day and score >= 0.85 and anchors >= 2 and timed then score
+    when same_day and word then greatest(score, 0.72) when not known and title >= 0.85 and (ven >= 0.72 or participants >= 0.80) and timed then greatest(score, 0.58) else score end, 6) score
+from e""")
+def three_valued(t: Tables) -> DataFrame:
+    return res.verdict(_joined(_records(t))).select("a", "b", "verdict", F.round("score", 6).alias("score"))
+
+
+def _arbiter(t: Tables) -> DataFrame:
+    """A table of verdicts on some pairs, as an outside arbiter would give them."""
+    a, b = F.col("o_orderkey"), F.col("next")
+    return t.orders.select(a.alias("a"), F.explode(F.sequence(a + 1, a + 40)).alias("next")).select("a", b.alias("b"), F.when((F.col("a") + b) % 3 == 0, "same").otherwise("different").alias("verdict"))
 
 
 @query("e1_complete_link")
@@ -56,17 +149,51 @@ def groups(t: Tables) -> DataFrame:
     return res.complete_link(_records(t))
 
 
+@query("e3_clusters")
+def clustered(t: Tables) -> DataFrame:
+    """Clusters of duplicate pairs."""
+    records = _records(t)
+    return res.clusters(records, res.pair_score(res.beside(res.candidates(records, days=0), records)))
+
+
 @query("e4_survivors")
 def survivors(t: Tables) -> DataFrame:
     records = _records(t)
     return res.survivors(records, res.complete_link(records)).select("id", "title", "description", "members", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("e10_cooldown", "select o_orderkey from orders where o_custkey not in (select o_custkey from orders where o_orderdate > timestamp '1998-06-01')")
+@query("e7_arbitrated_union")
+def union(t: Tables) -> DataFrame:
+    records = _records(t)
+    return res.united(records, res.arbitrated(_joined(records), _arbiter(t)))
+
+
+@query("e8_fallback")
+def fallback(t: Tables) -> DataFrame:
+    """The pairs that the fallback accepts where no arbiter speaks."""
+    records = _records(t)
+    return res.arbitrated(_joined(records)).where("same").select("a", "b")
+
+
+@query("e9_passes")
+def passes(t: Tables) -> DataFrame:
+    return res.resolved(_records(t), _arbiter(t))
+
+
+@query("e14_schedule", f"with {RECORDS} select id // 6 as cluster, strftime(d, '%Y-%m-%d') as day, min(minute) as minute, arg_max(venue, length(venue) * 10000000 - id) venue from r where d is not null group by all")
+def schedule(t: Tables) -> DataFrame:
+    records = _records(t)
+    found = res.schedule(records, records.select("id", F.floor(F.col("id") / 6).alias("cluster")))
+    return found.select("cluster", F.col("day").cast("string").alias("day"), "minute", "venue")
+
+
+@query("e10_cooldown", "with recent as (select o_custkey k from orders where o_orderdate > timestamp '1998-06-01'), f as (select distinct k from recent union select distinct 1499 - k from recent where k % 4 = 0 union select distinct 1499 - k from recent where (1499 - k) % 4 = 0) select o_orderkey from orders where o_custkey not in (select k from f)")
 def cooldown(t: Tables) -> DataFrame:
+    """Delivered customers go, and so do those that a verdict calls the same as a delivered one (k and 1499 - k for every fourth k)."""
     history = t.orders.select(F.col("o_custkey").alias("key"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("delivered_at"))
+    verdicts = t.orders.select(F.col("o_custkey").alias("a")).distinct().select("a", (1499 - F.col("a")).alias("b"), F.when(F.col("a") % 4 == 0, "same").otherwise("different").alias("verdict"))
     # 1998-06-01 00:00 and a cooldown that begins then.
-    return res.not_delivered(t.orders.withColumn("key", F.col("o_custkey")), history, 896659200 + 6 * 3600).select("o_orderkey")
+    return res.not_delivered(t.orders.withColumn("key", F.col("o_custkey")), history, 896659200 + 6 * 3600, verdicts=verdicts).select("o_orderkey")
 
 
 @query("e12_canonical", "select p_name, p_brand, p_partkey from part qualify row_number() over (partition by lower(p_type), p_brand order by p_retailprice desc, p_size desc, p_partkey) = 1")
@@ -75,3 +202,17 @@ def canonical(t: Tables) -> DataFrame:
 
     rows = t.part.withColumn("canon", F.lower("p_type"))
     return latest(rows, ["canon", "p_brand"], [F.desc("p_retailprice"), F.desc("p_size"), F.col("p_partkey")]).select("p_name", "p_brand", "p_partkey")
+
+
+@query("e13_best_poster", f"""
+with r as (select o_orderkey id, o_orderdate::date d, lower(p_name) a from orders join part on p_partkey = o_orderkey % (select count(*) from part)),
+f as (select o_orderkey poster, o_orderdate::date d, lower(p_name) b from orders join part on p_partkey = (o_orderkey * 3 + 1) % (select count(*) from part)),
+s as (select id, poster, {sql.text_similarity("a", "b")} score from r join f using (d))
+select id, poster from s where score >= 0.6 qualify row_number() over (partition by id order by score desc, poster) = 1""")
+def posters(t: Tables) -> DataFrame:
+    n = F.broadcast(t.part.agg(F.count("*").alias("_n")))  # one row
+    dated = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")).crossJoin(n)
+    name = t.part.select("p_partkey", F.lower("p_name").alias("title"))
+    events = dated.join(name, F.col("p_partkey") == F.col("o_orderkey") % F.col("_n")).select(F.col("o_orderkey").alias("id"), "day", "title")
+    facts = dated.join(name, F.col("p_partkey") == (F.col("o_orderkey") * 3 + 1) % F.col("_n")).select(F.col("o_orderkey").alias("poster"), "day", "title")
+    return res.best_poster(events, facts)

@@ -63,10 +63,10 @@ def due(t: Tables) -> DataFrame:
     return t.customer.where("c_nationkey % 2 = 0 and c_acctbal > 0 and c_acctbal <= 2500").orderBy("c_acctbal", "c_custkey").select("c_custkey")
 
 
-@query("f20_image_sets", "select a.p_partkey a, b.p_partkey b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey where a.p_partkey % 9 > 0 and b.p_partkey % 9 > 0")
+@query("f20_image_sets", "select a.p_partkey a, b.p_partkey b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey ")
 def image_sets(t: Tables) -> DataFrame:
     hashes = F.array_sort(F.array("p_brand", "p_type", F.col("p_size").cast("string")))
-    sets = t.part.where("p_partkey % 9 > 0").select("p_partkey", hashes.alias("hashes"))
+    sets = t.part.select("p_partkey", hashes.alias("hashes"))
     a, b = sets.alias("a"), sets.alias("b")
     return a.join(b, (F.col("a.hashes") == F.col("b.hashes")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
@@ -107,10 +107,10 @@ def fallback(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", F.coalesce("c_name", "s_name", F.concat(F.lit("Participant "), F.col("o_custkey").cast("string"))).alias("who"))
 
 
-@query("j13_band_join", "with o as (select o_orderkey id, epoch(o_orderdate)::bigint // 86400 s, epoch(o_orderdate)::bigint // 86400 + o_orderkey % 3 e from orders where o_orderkey % 20 = 1) select x.id a, y.id b from o x join o y on x.id < y.id and x.s <= y.e + 2 and y.s <= x.e + 2")
+@query("j13_band_join", "with o as (select o_orderkey id, epoch(o_orderdate)::bigint // 86400 s, epoch(o_orderdate)::bigint // 86400 + o_orderkey % 3 e from orders) select x.id a, y.id b from o x join o y on x.id < y.id and x.s <= y.e + 2 and y.s <= x.e + 2")
 def band(t: Tables) -> DataFrame:
     day = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400)
-    rows = t.orders.where("o_orderkey % 20 = 1").select(F.col("o_orderkey").alias("id"), day.alias("s"), (day + F.col("o_orderkey") % 3).alias("e"))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), day.alias("s"), (day + F.col("o_orderkey") % 3).alias("e"))
     return rel.band_pairs(rows, "id", "s", "e", 2, 5)
 
 
@@ -181,7 +181,11 @@ def page(t: Tables) -> DataFrame:
     return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").offset(40).limit(21).select("c_custkey")
 
 
-@query("o6_seeded_reservoir")
+@query("o6_seeded_reservoir", """
+with s as (select *, row_number() over (partition by o_orderstatus order by sha256(o_orderkey || ':17'), o_orderkey) draw from orders),
+a as (select *, row_number() over (partition by o_orderstatus order by o_orderdate desc, o_orderkey) age, count(*) over (partition by o_orderstatus) n from s where draw <= 80),
+t as (select *, min(case when age <= floor(n * 0.2) then o_orderdate end) over (partition by o_orderstatus) first from a)
+select o_orderkey, o_orderstatus, case when age <= floor(n * 0.2) then 'test' when epoch(first) - epoch(o_orderdate) < 300 then 'embargo' else 'train' end part from t""")
 def reservoir(t: Tables) -> DataFrame:
     """80 orders of each status by a seeded draw; the newest fifth is held out, 300 s of embargo before it."""
     return filters.reservoir(t.orders, "o_orderstatus", "o_orderkey", "o_orderdate", 80).select("o_orderkey", "o_orderstatus", "part")

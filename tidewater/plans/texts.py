@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import adhoc, search
+from ..operators import adhoc, ledger, search
 from ..sources import html
 from ..sources.tables import Tables
+from . import sqltext as sql
 from .registry import query
 
 
@@ -38,7 +39,7 @@ def gram_dice(t: Tables) -> DataFrame:
     return _pairs(t).select("c_custkey", F.round(tx.gram_dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
-@query("x12_text_similarity")
+@query("x12_text_similarity", f"with {PAIRS} select c_custkey, round({sql.text_similarity('a', 'b')}, 6) as text, round({sql.field_similarity('a', 'z')}, 6) field from (select *, case when c_custkey % 3 = 0 then '' else b end z from p)")
 def text_similarity(t: Tables) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _pairs(t).select("c_custkey", F.round(tx.text_similarity(a, b), 6).alias("text"), F.round(tx.field_similarity(a, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(b)), 6).alias("field"))
@@ -75,13 +76,36 @@ def content_hash(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.countDistinct(tx.content_hash("role", "text")).alias("contents"))
 
 
-@query("x23_near_duplicates")
+@query("x23_near_duplicates", f"""
+with r as (
+  select o_orderkey id, 's' || (o_custkey % 5) source, case when o_orderkey % 4 = 0 then o_orderkey // 8 else -o_orderkey end::varchar item,
+    case when o_orderkey % 6 = 1 then 'https://a.example/' || (o_orderkey // 12) else '' end url, lower(p_name || ' by ' || o_orderpriority || ' on ' || o_orderstatus || ' for ' || (o_orderkey // 8)) txt,
+    case when o_orderkey % 5 = 0 then ['u' || (o_orderkey // 10)] else []::varchar[] end att, epoch(o_orderdate)::bigint obs
+  from orders join part on p_partkey = (o_orderkey // 8) % (select count(*) from part)),
+n as (select *, {sql.normal("txt")} t from r),
+x as (select * from n where id % 2 = 0), y as (select * from n where id % 2 = 1 union all select -id, source, item, url, txt, att, obs, t from n where id % 8 = 0),
+s as (
+  select x.id, y.id seen_id, 0.85 * (case when x.t = y.t then 1 else {sql.gram_dice("x.t", "y.t")} end)::double + 0.15 * (0.40 + (case when x.item = y.item or (x.url <> '' and x.url = y.url) then 0.20 else 0 end)::double
+    + 0.20 * (case when greatest(len(x.att), len(y.att)) = 0 then 1 else len(list_intersect(x.att, y.att)) / greatest(len(x.att), len(y.att)) end)::double
+    + 0.20 * (case when abs(x.obs - y.obs) <= 300 then 1 when abs(x.obs - y.obs) <= 3600 then 0.9 when abs(x.obs - y.obs) <= 21600 then 0.6 when abs(x.obs - y.obs) <= 86400 then 0.35 else 0 end)::double) similarity
+  from x join y on x.source = y.source and (x.item = y.item or (x.url <> '' and x.url = y.url) or abs(x.obs - y.obs) <= 300))
+select id, seen_id, round(similarity, 6) similarity from s where similarity >= 0.97 qualify row_number() over (partition by id order by similarity desc, seen_id) = 1""")
 def near_duplicates(t: Tables) -> DataFrame:
-    """Benchmark items beside the one before: 0.85 text + 0.15 time; accepted from 0.97."""
-    rows = t.benchmark.select("item_id", tx.normal(F.col("text")).alias("text"))
-    pairs = rows.join(rows.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("other")), "item_id")
-    score = 0.85 * tx.text_similarity(F.col("text"), F.col("other")) + 0.15 * tx.observed_similarity(F.col("item_id") * 60, (F.col("item_id") - 1) * 60)
-    return pairs.select("item_id", F.round(score, 6).alias("score")).where("score >= 0.97").groupBy("item_id").agg(F.max("score").alias("score"))
+    """Even orders against odd ones and copies of every eighth, as posts of five sources."""
+    n = F.broadcast(t.part.agg(F.count("*").alias("_n")))  # one row
+    key, eighth = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 8)
+    joined = t.orders.crossJoin(n).join(t.part, F.col("p_partkey") == eighth % F.col("_n"))
+    rows = joined.select(
+        key.alias("id"),
+        F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("source"),
+        F.when(key % 4 == 0, eighth).otherwise(-key).cast("string").alias("item"),
+        F.when(key % 6 == 1, F.concat(F.lit("https://a.example/"), F.floor(key / 12).cast("string"))).otherwise("").alias("url"),
+        F.concat_ws(" ", "p_name", F.lit("by"), "o_orderpriority", F.lit("on"), "o_orderstatus", F.lit("for"), eighth.cast("string")).alias("text"),
+        F.when(key % 5 == 0, F.array(F.concat(F.lit("u"), F.floor(key / 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("attachments"),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("observed"),
+    )
+    seen = rows.where("id % 2 = 1").unionByName(rows.where("id % 8 = 0").withColumn("id", -F.col("id")))
+    return ledger.near_duplicates(rows.where("id % 2 = 0"), seen).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("f6_folded_search", "select conv_id, turn from conversations where contains(lower(text), 'the') and contains(lower(text), 'tion') and role <> 'system' order by conv_id desc, turn desc limit 51")
@@ -96,7 +120,18 @@ def frequency(t: Tables) -> DataFrame:
     return each.groupBy("word").agg(F.count("*").alias("documents")).where("documents >= 20")
 
 
-@query("t1_ranked_memory")
+@query("t1_ranked_memory", f"""
+with d as (select conv_id * 1000 + turn id, conv_id at_, {sql.normal("text")} t from conversations),
+w as (select id, unnest(list_distinct(string_split(t, ' '))) word from d),
+q(asked) as (values ('the'), ('then'), ('thing'), ('that')),
+h as (select id, word, asked, case when word = asked then 3 when least(length(word), length(asked)) >= 4 and (starts_with(word, asked) or starts_with(asked, word)) then 1 end k from w, q where word <> ''),
+f as (select word, count(distinct id) df from h where k is not null group by all),
+b as (select id, asked, max(struct_pack(k := k, word := word, p := (case k when 3 then 6.0 else 1.8 end)::double / (1 + log2(df)))) m from h join f using (word) where k is not null group by all),
+s as (select id, sum(m.p) p, count(*) matched, count_if(m.k = 3) exact from b group by all),
+z as (select s.id, at_, matched / 4 coverage, exact, matched,
+  p + (select sum(case when contains(t, ph) then least(12, 4 + 2 * n) else 0 end) from (values ('the then', 2), ('then thing', 2), ('thing that', 2), ('the then thing', 3), ('then thing that', 3), ('the then thing that', 4)) v(ph, n)) + 8 * matched / 4 score
+  from s join d using (id))
+select id, round(score, 3) score, round(coverage, 3) coverage from z where round(score, 3) >= 8 and (exact > 0 or matched >= 2) order by round(score, 3) desc, at_ desc, id desc limit 50""")
 def ranked(t: Tables) -> DataFrame:
     rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.col("conv_id").alias("created_at"))
     return search.rank(rows, "the then thing that", limit=50)
@@ -113,9 +148,11 @@ def page_fields(t: Tables) -> DataFrame:
     return html.pages(t.pages).select("page_id", "title", "heading", "n_links", F.length("body").alias("n_body"))
 
 
-@query("s11_titles", "select page_id, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) title from pages")
+@query("s11_titles", "select page_id, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) || ' «é€' || chr(39) || '≥ & < &bogus; 5' title from pages")
 def titles(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", html.stripped(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    """Titles, with references of all kinds behind them: named, decimal, hexadecimal, and one that is none."""
+    more = F.lit(" &laquo;&eacute;&#8364;&apos;&#x2265; &amp; &lt; &bogus; <b>5</b>")
+    return t.pages.select("page_id", html.stripped(F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), more)).alias("title"))
 
 
 @query("n2_token_estimate", "select conv_id, sum(ceil(length(text) / 3.3))::bigint tokens from conversations group by all")
