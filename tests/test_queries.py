@@ -39,4 +39,5 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    """Those without SQL find something; what they find is held against plain Python elsewhere."""
+    assert QUERIES[name](spark, FOLDER).count() > 0
