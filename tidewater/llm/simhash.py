@@ -17,8 +17,9 @@ bits: a table finds it with a chance of about 0.37, twelve tables with 0.996, an
 A bucket first emits only the shortest forest of its candidates. Candidates which that leaves out can
 matter only between classes that a refuted edge joined. What refuted edges connect is compared again, across
 classes only and block by block: the members of the largest class lie in one block each, and those of the others,
-which are few, come to all blocks. There all bits of the sketch (896 in place of 128) tell which pairs are possible;
-these are verified in place, on the sets that come along, and only links leave the task.
+which are few, come to all blocks. A first round has the sketches only, of which all bits (896 in place of 128) tell
+which documents can have a link at all. These alone bring their sets to a second round, which verifies in place, so
+that only links leave the task.
 
 Buckets do not emit all their pairs: a bucket's links are reduced to a forest in place, at most one
 edge a member. A bucket above `block` members is dealt to pairs of blocks of that size, each a group
@@ -404,8 +405,11 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _crossed(columns: list[str], radius: int, similarity: float):
-    """Per group (key, kind, s, t; rows arrive sorted): links (u, v) between classes, as many as connect what is linked there."""
+def _crossed(columns: list[str], radius: int, similarity: float | None):
+    """Per group (key, kind, s, t; rows arrive sorted): links (u, v) between classes, as many as connect what is linked there.
+
+    Without a similarity (and sets) the nodes that lie within radius of some other class, as (u, u).
+    """
     ids, names = ["key", "kind", "s", "t"], ["node", "class", "own", *columns]
 
     def settle(cols: dict[str, np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -413,6 +417,7 @@ def _crossed(columns: list[str], radius: int, similarity: float):
         klass, own, node = cols["class"], cols["own"], cols["node"]
         root: dict[int, int] = {}
         found: list[tuple[int, int]] = []
+        possible = np.zeros(len(node), bool)
 
         def of(x: int) -> int:
             while root.setdefault(x, x) != x:
@@ -425,12 +430,18 @@ def _crossed(columns: list[str], radius: int, similarity: float):
         for j in right.tolist():
             some = left[: j if inner else len(left)]
             some = some[klass[some] != klass[j]]
-            apart = np.bitwise_count(prints[some] ^ prints[j]).sum(axis=1, dtype=np.int64)
-            for i in some[apart <= radius].tolist():
+            some = some[np.bitwise_count(prints[some] ^ prints[j]).sum(axis=1, dtype=np.int64) <= radius]
+            if similarity is None:
+                possible[some] = True
+                possible[j] |= len(some) > 0
+                continue
+            for i in some.tolist():
                 p, q = of(int(klass[i])), of(int(klass[j]))
                 if p != q and len(sets[i]) and len(sets[j]) and _jaccard(sets[i], sets[j]) >= similarity:
                     root[q] = p
                     found.append((max(node[i], node[j]), min(node[i], node[j])))
+        if similarity is None:
+            found = [(x, x) for x in node[possible].tolist()]
         u, v = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -440,7 +451,7 @@ def _crossed(columns: list[str], radius: int, similarity: float):
             if not batch.num_rows:
                 continue
             cols = {c: ints(batch.column(c)) for c in [*ids, *names]}
-            more = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+            more = [] if similarity is None else [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
             new = np.ones(batch.num_rows, bool)
             new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ids], axis=0)
             if held is not None:
@@ -461,13 +472,16 @@ def _crossed(columns: list[str], radius: int, similarity: float):
     return run
 
 
-def across(rows: DataFrame, columns: list[str], radius: int, similarity: float) -> DataFrame:
-    """(u, v): links between classes of one key, of rows (key, node, class, sketch columns, hashes), verified on the sets.
+def across(rows: DataFrame, columns: list[str], radius: int, similarity: float | None = None) -> DataFrame:
+    """(u, v): links between classes of one key, of rows (key, node, class, sketch columns, hashes), verified on the sets; without
+    a similarity, and hashes, the nodes that are near some other class.
 
     Every pair of different classes is compared. The largest class of a key is never compared with itself, so its members are
     dealt to blocks of their own; those of other classes come to every such block, and to pairs of blocks among themselves.
     """
-    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    carried = ["node", "class", *([] if similarity is None else ["hashes"]), *columns]
+    size = F.lit(0).cast("long") if similarity is None else F.length("hashes").cast("long")
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
     top = F.max(F.struct("n", "bytes", "class")).alias("top")
     whole = sizes.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / ACROSS), F.ceil(size / ACROSS_BYTES)).cast("int")
@@ -481,7 +495,7 @@ def across(rows: DataFrame, columns: list[str], radius: int, similarity: float)
         F.transform(upto("hosts"), lambda h: group(0, h, place("guests"), F.lit(1))),
         F.transform(upto("guests"), lambda g: group(1, F.least(place("guests"), g), F.greatest(place("guests"), g), (place("guests") > g).cast("int"))),
     )
-    dealt = rows.select("key", "node", "class", "hashes", *columns, F.explode(F.when(F.col("host"), hosted).otherwise(guest)).alias("g")).select("key", "g.*", "node", "class", "hashes", *columns)
+    dealt = rows.select("key", *carried, F.explode(F.when(F.col("host"), hosted).otherwise(guest)).alias("g")).select("key", "g.*", *carried)
     order = ["key", "kind", "s", "t"]
     return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_crossed(columns, radius, similarity), "u long, v long").distinct()
 
@@ -531,6 +545,8 @@ def similar_classes(docs: DataFrame, words: int = 5, seed: int = 42, similarity:
         rows = written(rows.select("key", "node", "class", "place", *columns))
         bits = 64 * len(columns)
         near = int(bits * share + 3.2 * (bits * share * (1 - share)) ** 0.5)
+        some = written(across(rows.drop("place"), columns, near).select(F.col("u").alias("node")).distinct())
+        rows = written(rows.join(some, "node", "left_semi"))
         own = written(shingle_sets(docs, rows.select("node", "place.dk", "place.th"), words, seed))
         late = written(across(rows.drop("place").join(own, "node"), columns, near, similarity))
         if not late.isEmpty():
