@@ -535,3 +535,69 @@ def test_mixing_of_repeats_keeps_wanted_documents(spark):
     assert min(r["rate"] for r in rows if domain[r["dk"]] == "clean") > 0.97
     frame = spark.createDataFrame(rows)
     assert all(abs(r["share"] - r["target"]) < 5e-4 for r in mixing.reached(frame, mixing.WEIGHTS).collect())
+
+
+def brute_components(pairs, ids):
+    root = {i: i for i in ids}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in pairs:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return {i: find(i) for i in ids}
+
+
+def test_large_buckets_are_dealt_in_blocks(spark):
+    """Buckets far above the block's size: the same components as from comparing all pairs."""
+    from tidewater.llm.components import components
+
+    rng = random.Random(31)
+    words = [rng.getrandbits(64)]
+    for _ in range(70):  # a chain of words, some within 3 bits of the one before, some not
+        words.append(words[-1] ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 3, 5]))))
+    words = sorted({w - 2**64 if w >= 2**63 else w for w in words})
+    prints = spark.createDataFrame([(w, w) for w in words], "node long, f0 long")
+    near = [(a, b) for a, b in itertools.combinations(words, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 3]
+    want = brute_components(near, {x for p in near for x in p})
+    for block in (3, 2048):
+        got = {r["node"]: r["root"] for r in components(simhash.linked(prints, simhash.radius_keys, ["f0"], ["f0"], 3, block)).collect()}
+        assert got == want
+
+
+def test_classes_are_crossed_in_blocks(spark, monkeypatch):
+    """Links between classes that share a key, with blocks of a few members, equal those of all pairs."""
+    rng = np.random.default_rng(33)
+    rows, sets = [], {}
+    for i in range(60):
+        base = np.arange(100) + 1000 * (i % 2)
+        some = np.unique(np.where(rng.random(100) < 0.1, rng.integers(10**6, 10**9, 100), base)).astype(np.uint64)
+        sets[i] = set(some.tolist())
+        rows.append((i % 2, i, i if i % 3 else 1000 + i % 2, some.tobytes(), *(0 for _ in range(2))))
+    frame = spark.createDataFrame(rows, "key long, node long, class long, hashes binary, f0 long, f1 long")
+    alike = [(i, j) for i, j in itertools.combinations(range(60), 2) if i % 2 == j % 2 and rows[i][2] != rows[j][2] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    classes = [r[2] for r in rows]
+    want = brute_components([(classes[i], classes[j]) for i, j in alike], set(classes))
+    for limit in (4, 1024):
+        monkeypatch.setattr(simhash, "ACROSS", limit)
+        got = [(r["u"], r["v"]) for r in simhash.across(frame, ["f0", "f1"], 10, 0.8).collect()]
+        assert all((v, u) in alike for u, v in got)
+        assert brute_components([(classes[u], classes[v]) for u, v in got], set(classes)) == want
+    assert {r["u"] for r in simhash.across(frame.drop("hashes"), ["f0", "f1"], 10).collect()} == set(range(60))
+
+
+def test_line_dedup_of_null_ids_and_repeats(spark):
+    """Rows without id are one document, as are repeated rows, but each row has its result."""
+    kind = "doc_id long, text string, dk string"
+    rows = [(None, "a\nx", "c"), (None, "a\ny", "c"), (1, "a\nz", "c"), (1, "a\nz", "c"), (2, "b", "c"), (3, "b\n\n", "c")]
+    docs = spark.createDataFrame(rows, kind)
+    got = Counter((None if r["dk"] == NULL_ID else r["dk"], r["text"], r["n_dropped"]) for r in line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs, 2, False)).collect())
+    assert got == Counter({(None, "x", 1): 1, (None, "y", 1): 1, (1, "z", 1): 2, (2, "", 1): 1, (3, "\n", 1): 1})
+    assert Counter(r["text"] for r in line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs, 3, False)).collect()) == Counter(t for _, t, _ in rows)
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = documents(spark, ["x"]).limit(0)
+    assert simhash.simhash_classes(none).count() == simhash.similar_classes(none).count() == licenses.scan(none).count() == 0
+    assert quality.perplexities(none, none.select("doc_id")).count() == 0
