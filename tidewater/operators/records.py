@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from ..functions import dates
 from ..functions import text as tx
 
 #: Case endings that a searched word may have.
@@ -178,6 +179,25 @@ def venue_key(text: Column, venues: dict[str, list[str]]) -> Column:
     return out
 
 
+def metadata(text: Column, reference: Column, venues: dict[str, list[str]]) -> Column:
+    """struct(days, time, price, age, links, venue) that a text says of an event: dates as `dates.mentions` reads them, the first
+    clock time, the least price in roubles (0 if it says free), the age from which one is let in, addresses, the venue's key.
+    What is not said is null, or empty for arrays and the venue; a null text says nothing."""
+    said = F.coalesce(text, F.lit(""))
+    first = lambda p, g=1: F.nullif(F.regexp_extract(said, p, g), F.lit(""))
+    clock = r"(?<![\d:.])([01]?\d|2[0-3]):([0-5]\d)(?![\d:])"
+    prices = F.transform(F.regexp_extract_all(said, F.lit(r"(?i)(?<![\d.])(\d{1,6})\s*(?:₽|руб)"), F.lit(1)), lambda x: x.cast("long"))
+    price = F.when(F.lower(said).rlike(r"(?<!\p{L})(?:free|бесплатн)"), F.lit(0).cast("long")).when(F.size(prices) > 0, F.array_min(prices))
+    return F.struct(
+        dates.mentions(said, reference).alias("days"),
+        F.when(first(clock).isNotNull(), F.concat(F.lpad(first(clock), 2, "0"), F.lit(":"), first(clock, 2))).alias("time"),
+        price.alias("price"),
+        first(r"(?<![\d+])(0|6|12|16|18)\s?\+(?!\d)").cast("int").alias("age"),
+        F.array_distinct(F.regexp_extract_all(said, F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0))).alias("links"),
+        venue_key(said, venues).alias("venue"),
+    )
+
+
 def title_tokens(title: Column, venues: list[str], stop: list[str]) -> Column:
     """Words of a title that may name an event: without venues' names, of over 3 letters, no numbers, no stop or format words."""
     body = F.concat(F.lit(" "), tx.normal(title), F.lit(" "))

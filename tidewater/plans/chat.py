@@ -113,8 +113,11 @@ def sliding(t: Tables) -> DataFrame:
 
 @query("f7_character_budget", f"with {MESSAGES_SQL}, s as (select peer_id, cmid, kind, sum(length(kind)) over (partition by peer_id order by created_at desc, cmid desc) total from messages) select peer_id, cmid, left(kind, greatest(0, least(length(kind), 400 - (total - length(kind))))::int) kept from s where total - length(kind) < 400")
 def budget(t: Tables) -> DataFrame:
-    newest = Window.partitionBy("peer_id").orderBy(F.desc("created_at"), F.desc("cmid")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.messages().withColumn("before", F.sum(F.length("kind")).over(newest) - F.length("kind")).where("before < 400")
+    order = Window.partitionBy("peer_id").orderBy(F.desc("created_at"), F.desc("cmid"))
+    # Every text has a letter at least, so the newest 400 are enough; this limit applies before rows are shuffled.
+    some = t.messages().where(F.length("kind") > 0).withColumn("_place", F.row_number().over(order)).where("_place <= 400")
+    newest = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = some.withColumn("before", F.sum(F.length("kind")).over(newest) - F.length("kind")).where("before < 400")
     return rows.select("peer_id", "cmid", F.substr("kind", F.lit(1), F.least(F.length("kind"), 400 - F.col("before")).cast("int")).alias("kept"))
 
 

@@ -148,6 +148,26 @@ def tagged(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(rec.tags(F.col("p_name"), taxonomy), ",").alias("tags"))
 
 
+@query("r5_metadata", """
+select o_orderkey k, strftime(o_orderdate, '%Y-%m-%d') as days, case when o_orderkey % 3 = 0 then '19:30' when o_orderkey % 3 = 1 then '09:05' end as time, case when o_orderkey % 4 = 0 then 0 when o_orderkey % 4 = 1 then 200 + o_orderkey % 50 end::bigint price,
+  case when o_orderkey % 5 = 0 then 18 when o_orderkey % 5 = 1 then 6 end::int age, case when o_orderkey % 2 = 0 then 'https://t.example/' || o_orderkey else '' end links, case when o_orderkey % 7 = 0 then 'hall' else '' end venue from orders""")
+def metadata(t: Tables) -> DataFrame:
+    """What announcements made of orders say, beside numbers that mean something else."""
+    key = F.col("o_orderkey")
+    word = key.cast("string")
+    parts = [
+        F.when(key % 7 == 0, "Red  Hall,").otherwise("Elsewhere,"),
+        F.date_format("o_orderdate", "dd.MM.yyyy"),
+        F.when(key % 3 == 0, "at 19:30").when(key % 3 == 1, "at 9:05").otherwise("at 19:300"),
+        F.when(key % 4 == 0, "Бесплатно").when(key % 4 == 1, F.concat(F.lit("900 руб or "), (200 + key % 50).cast("string"), F.lit("₽"))).otherwise("50 seats"),
+        F.when(key % 5 == 0, "18+").when(key % 5 == 1, "from 6 +").otherwise("7+ or +18"),
+        F.when(key % 2 == 0, F.concat(F.lit("(https://t.example/"), word, F.lit(")"))).otherwise("https:/no"),
+    ]
+    found = rec.metadata(F.concat_ws(" ", *parts), F.to_date("o_orderdate"), {"hall": ["Red Hall"]})
+    rows = t.orders.select(key.alias("k"), found.alias("m"))
+    return rows.select("k", F.array_join(F.transform("m.days", lambda d: d.cast("string")), ",").alias("days"), "m.time", "m.price", "m.age", F.array_join("m.links", ",").alias("links"), "m.venue")
+
+
 @query("t3_expanded_search", "select conv_id, turn from conversations where regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:then|tion|what then about tion)(?:а|я|у|ю|е|и|ы|ой|ом|ем|ов|ев|ам|ям|ами|ями|ах|ях)?(?:$|[^\\p{L}\\p{N}_])')")
 def expanded_search(t: Tables) -> DataFrame:
     """Rows that hold any term of a question."""
