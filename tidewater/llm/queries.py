@@ -6,6 +6,7 @@ from .bit_sliced import OP2_SQL, op2_bit_sliced_topk
 from .block_max_wand import OP12_SQL, op12_block_max_wand
 from .byte_bpe import op6_byte_bpe
 from .fim import OP13_SQL, op13_fill_in_middle
+from .hmm import op11_hmm
 from .ivf_pq import op9_ivf_pq
 from .licenses import OP7_SQL, op7_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ivf_pq": op9_ivf_pq,
     "op10_toxicity": op10_toxicity,
+    "op11_hmm": op11_hmm,
     "op12_block_max_wand": op12_block_max_wand,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
