@@ -43,7 +43,7 @@ from .blocks import planes, runs, values
 from .common import keyed, real_id, scratch, shuffle_partitions, table, written
 from .words import Vocabulary, texts
 
-BLOCK, SEGMENT_BYTES = 128, 32 << 20
+BLOCK, SEGMENT_BYTES = 128, 12 << 20
 #: Items of a pack and bytes of their texts; packs that a task remembers.
 ITEMS, PACK_BYTES, REMEMBERED = 1024, 1 << 20, 64
 #: Documents that the pointers pass at once, at first and at most.
