@@ -66,12 +66,6 @@ def test_terms_tags_and_stems(spark):
     assert [r[0] for r in words.select(search.stem(F.col("w"))).collect()] == ["совам", "стих", "ночь", "сердц", "дом5ами"]
 
 
-def test_mentions_of_a_person(spark):
-    rows = spark.createDataFrame([(1, 5, "hello Gregory there"), (2, 7, "hello Gregory"), (3, None, "gregori!"), (4, 5, "[id7|x] wrote"), (5, 5, "nothing"), (6, 5, None)], "id long, sender_id long, text string")
-    got = {r["id"]: r["score"] for r in search.mentions(rows, ["gregory"], target=7, least=0.85).collect()}
-    assert got[1] == 0.99 and got[4] == 1.0 and 0.85 < got[3] < 0.99 and set(got) == {1, 3, 4}
-
-
 def test_digests_of_keys(spark):
     import hashlib
 

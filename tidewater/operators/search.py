@@ -1,15 +1,13 @@
-"""Ranked and fuzzy text search."""
+"""Ranked text search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _jaro, folded, normal
+from ..functions.text import folded, normal
 
 #: Endings that the light stemmer takes off, in the order in which they are tried.
 ENDINGS = [
@@ -68,49 +66,3 @@ def rank(rows: DataFrame, question: str, limit: int = 5, least: float = 8.0) ->
 
 def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in folded(text)).split()
-
-
-def alias_score(phrase: str, alias: str) -> float:
-    """The best of edit similarity, Jaro-Winkler and common prefix."""
-    if phrase == alias:
-        return 0.99
-    j = _jaro(phrase, alias)
-    n = next((i for i, (a, b) in enumerate(zip(phrase, alias)) if a != b), min(len(phrase), len(alias)))
-    prefix = min(0.94, 0.55 + 0.39 * n / max(len(phrase), len(alias))) if n >= 3 else 0.0
-    return max(j + 0.1 * min(n, 4) * (1 - j), prefix)
-
-
-def mentions(rows: DataFrame, aliases: list[str], target: int, least: float = 0.82) -> DataFrame:
-    """(id, score, alias) of the rows (id, sender_id, text) that name the target, not its own; rows without a sender count.
-
-    A direct id or @alias counts 1, an exact alias 0.99, else the best 1- to 3-gram above `least`. A phrase that differs
-    from an alias by more than three letters in length does not match it.
-    """
-    known = [folded(a) for a in aliases]
-    widths = {len(a.split()) for a in known}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[tuple[str, str], float] = {}
-
-        def score(phrase: str, alias: str) -> float:
-            key = phrase, alias
-            if key not in memo:
-                if len(memo) > 8192:
-                    memo.clear()
-                memo[key] = alias_score(phrase, alias) if abs(len(phrase) - len(alias)) <= 3 else 0.0
-            return memo[key]
-
-        for frame in frames:
-            out = []
-            for row, text in zip(frame["id"], frame["text"]):
-                low, words = folded(text or ""), _words(text or "")
-                direct = next((a for a in known if f"@{a}" in low), None) or (str(target) if f"[id{target}|" in low else None)
-                best = (1.0, direct) if direct else (0.0, "")
-                if not direct:
-                    grams = {" ".join(words[i : i + n]) for n in widths | {1} for i in range(len(words) - n + 1) if n <= 3}
-                    best = max(((score(g, a), a) for g in grams for a in known), default=best)
-                if best[0] > least:
-                    out.append((row, round(best[0], 6), best[1]))
-            yield pd.DataFrame(out, columns=["id", "score", "alias"])
-
-    return rows.where(~F.col("sender_id").eqNullSafe(F.lit(target))).select("id", "text").mapInPandas(run, "id long, score double, alias string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import adhoc, ledger, search
+from ..operators import mentions as named
 from ..sources import html
 from ..sources.tables import Tables
 from . import sqltext as sql
@@ -139,8 +140,11 @@ def ranked(t: Tables) -> DataFrame:
 
 @query("t2_fuzzy_mentions")
 def mentions(t: Tables) -> DataFrame:
+    """Participants are named by the first words of six letters or more of each benchmark item: each word, and two together."""
     rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("sender_id"), "text")
-    return search.mentions(rows, ["therion", "tionhe"], target=3, least=0.9)
+    long = F.slice(F.filter(F.split("text", r"\P{L}+"), lambda w: F.length(w) >= 6), 1, 2)
+    people = t.benchmark.select(F.col("item_id").alias("participant"), F.array(F.array_join(long, " ")).alias("aliases"), F.array("item_id").alias("user_ids"))
+    return named.mentions(rows, people)
 
 
 @query("s10_page_fields")
