@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import merging
 from ..operators import resolution as res
 from ..sources.tables import Tables
 from . import sqltext as sql
@@ -151,21 +152,22 @@ def groups(t: Tables) -> DataFrame:
 
 @query("e3_clusters")
 def clustered(t: Tables) -> DataFrame:
-    """Clusters of duplicate pairs."""
-    records = _records(t)
-    return res.clusters(records, res.pair_score(res.beside(res.candidates(records, days=0), records)))
+    """Groups of duplicates, going on with merged records until none are left."""
+    return merging.clusters(_records(t))
 
 
 @query("e4_survivors")
 def survivors(t: Tables) -> DataFrame:
+    """One merged record of each complete-link group."""
     records = _records(t)
-    return res.survivors(records, res.complete_link(records)).select("id", "title", "description", "members", F.array_join("tokens", " ").alias("tokens"))
+    found = merging.merged(records, res.complete_link(records).withColumnRenamed("keeper", "cluster"))
+    return found.select("id", "title", "description", "participants", "venue", "minute", "source", "members", F.array_join("links", " ").alias("links"))
 
 
 @query("e7_arbitrated_union")
 def union(t: Tables) -> DataFrame:
     records = _records(t)
-    return res.united(records, res.arbitrated(_joined(records), _arbiter(t)))
+    return merging.united(records, res.arbitrated(_joined(records), _arbiter(t)))
 
 
 @query("e8_fallback")
@@ -177,7 +179,8 @@ def fallback(t: Tables) -> DataFrame:
 
 @query("e9_passes")
 def passes(t: Tables) -> DataFrame:
-    return res.resolved(_records(t), _arbiter(t))
+    """All contours; ticket sources are safe."""
+    return merging.resolved(_records(t).withColumn("safe", F.col("source") == "tickets"), _arbiter(t))
 
 
 @query("e14_schedule", f"with {RECORDS} select id // 6 as cluster, strftime(d, '%Y-%m-%d') as day, min(minute) as minute, arg_max(venue, length(venue) * 10000000 - id) venue from r where d is not null group by all")
