@@ -66,6 +66,21 @@ def test_terms_tags_and_stems(spark):
     assert [r[0] for r in words.select(search.stem(F.col("w"))).collect()] == ["совам", "стих", "ночь", "сердц", "дом5ами"]
 
 
+def test_ranges_that_have_begun_stay_upright():
+    from datetime import date, timedelta
+
+    from tidewater.functions.dates import phrase
+
+    for text, days in (("5-7 марта", 2), ("05.03 - 07.03", 2), ("с 5 по 7 марта", 2), ("30.12 - 02.01", 3)):
+        for n in range(366):
+            today = date(2023, 3, 1) + timedelta(n)
+            kind, first, last = phrase(text, today)
+            assert kind == "date-range" and first >= today and (last - first).days == days
+    assert phrase("5-7 марта", date(2024, 3, 6))[1:] == (date(2025, 3, 5), date(2025, 3, 7))
+    assert phrase("5-7 марта 2024", date(2024, 3, 6))[1:] == (date(2024, 3, 5), date(2024, 3, 7))
+    assert phrase("31 апреля", date(2024, 3, 6)) is None
+
+
 def test_digests_of_keys(spark):
     import hashlib
 

@@ -82,9 +82,26 @@ def phrase(text: str, today: date) -> tuple[str, date, date] | None:
         except ValueError:
             return None
 
-    found = [on(d, int(m), y) for d, m, y in re.findall(r"(?<![\d.])(\d{1,2})\.(\d{1,2})(?:\.(\d{4}|\d{2}))?(?![\d.])", said)]
+    def span(day: str, month: int, year: str | None, start: date | None) -> date | None:
+        """The end of a range without a year of its own: the first such day from its start on."""
+        if year or start is None:
+            return on(day, month, year)
+        for y in (start.year, start.year + 1):
+            try:
+                if date(y, month, int(day)) >= start:
+                    return date(y, month, int(day))
+            except ValueError:
+                pass
+        return None
+
+    found, before = [], 0
+    for m in re.finditer(r"(?<![\d.])(\d{1,2})\.(\d{1,2})(?:\.(\d{4}|\d{2}))?(?![\d.])", said):
+        joined = found and re.fullmatch(r"\s*(?:[-–—]|по|до)\s*", said[before : m.start()])
+        found.append(span(m[1], int(m[2]), m[3], found[-1]) if joined else on(m[1], int(m[2]), m[3]))
+        before = m.end()
     for a, b, m, y in re.findall(rf"(?<!\d)(?:(\d{{1,2}})\s*(?:[-–—]|по|до)\s*)?(\d{{1,2}})\s+({_RU})(?:\s+(\d{{4}}))?", said):
-        found += [on(x, MONTHS[m], y or None) for x in (a, b) if x]
+        start = on(a, MONTHS[m], y or None) if a else None
+        found += [start, span(b, MONTHS[m], y or None, start)]
     found = [x for x in found if x]
     if found:
         return ("date" if len(found) == 1 else "date-range", min(found), max(found))
