@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm import block_max_wand as wand
-from tidewater.llm import fim, hmm
+from tidewater.llm import fim, hmm, licenses
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -168,3 +168,18 @@ def test_hmm_is_better_than_words_alone(spark):
     found = hmm.op11_hmm(spark, "/root/testdata/sf0.001").where("held_out").collect()
     assert len(found) > 10 and sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
     assert sum(r["score"] > r["base_score"] for r in found) > 0.8 * len(found)
+
+
+def test_owners_in_licence_sentences(spark):
+    """The last condition of BSD-3 names an owner, plainly and in comments; without it the text is BSD-2."""
+    names = ["the copyright holder", "Google Inc.", "the University of California, Berkeley", "<organization>", "ACME Ltd. Co. KG", "Жар-птица"]
+    parts = [licenses.SENTENCES[f"bsd-{i}"] for i in (1, 2, 3)]
+    rows = []
+    for name in names:
+        last = f"Neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        plain = "Copyright 2020 Someone\n\n" + "\n\n".join([*parts, last])
+        rows += [plain, "\n".join(f"# {line}" for line in plain.split("\n")), "\n".join(f" * {line}" for line in plain.replace(" nor the", "\nnor the").split("\n"))]
+    rows.append("\n\n".join(parts))
+    found = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["licenses"] for r in found}
+    assert [got[i] for i in range(len(rows))] == [["BSD-3-Clause"]] * (len(rows) - 1) + [["BSD-2-Clause"]]

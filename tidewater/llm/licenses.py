@@ -150,15 +150,20 @@ OWNED = r"^[^\na-z0-9]*(?:copyright|\(c\)|©)[^\n]*"
 END = r"(?<=[.!?])[ \t\n\x0b\f\r]+|(?<=:)[ \t\r]*\n|\n[ \t\r]*(?:[#*/;%!|-]+[ \t\r]*)*\n"
 
 
+#: Reduced sentences with an owner's name in them (or its rest, behind the full stop of an abbreviation), and what stands in its place.
+NAMED = "^(?:.+ )?nor the names of (?:its|the|their|any) contributors"
+OWNER = "neither the name of the copyright holder nor the names of its contributors"
+
+
 def reduced(sentence: str) -> str:
     """A known sentence's words in lower case, as `words` makes them of a column."""
-    return re.sub(r"[^0-9a-z\x80-\uffff]+", " ", sentence.lower()).strip()
+    return re.sub(NAMED, OWNER, re.sub(r"[^0-9a-z\x80-\uffff]+", " ", sentence.lower()).strip())
 
 
 def words(sentence: Column) -> Column:
-    """ASCII upper case to lower, all else than letters of any script and digits to single spaces."""
+    """ASCII upper case to lower, all else than letters of any script and digits to single spaces; any owner's name as OWNER."""
     lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(lower, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")), NAMED, OWNER)
 
 
 def forms(sentences: dict[str, str]) -> dict[str, str]:
@@ -217,7 +222,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known_ = ", ".join(f"({quote(piece)}, {quote(name)})" for piece, name in forms(SENTENCES).items())
-    clean = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' ')"
+    clean = r"regexp_replace(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' ')" + f", '{NAMED}', '{OWNER}')"
     cases, drops = [], {}
     for name, ids, longer in RULES:
         pattern = " " + "([^|]* )?".join(f"{i} " for i in ids)
