@@ -145,6 +145,7 @@ def expanded(question: str, stop: set[str], most: int = 10) -> list[str]:
     and long words without an ending."""
     whole = " ".join(question.split())
     words = [w for w in re.split(r"[^\w]+", whole) if len(w) >= 3 and w.lower() not in stop]
+    # The endings that are taken off.
     bare = [re.sub(r"(?:ами|ями|ом|ем|а|я|у|ю|е|и|ы)$", "", w) for w in words if len(w) >= 7]
     terms = [whole, *(x for w in words for x in (w, *(b for b in bare if b != w and len(b) >= 6 and w.startswith(b))))]
     return list(dict.fromkeys(t for t in terms if t))[:most]
