@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import merging
+from ..operators import merging, posters
 from ..operators import resolution as res
 from ..sources.tables import Tables
 from . import sqltext as sql
@@ -212,10 +212,86 @@ with r as (select o_orderkey id, o_orderdate::date d, lower(p_name) a from order
 f as (select o_orderkey poster, o_orderdate::date d, lower(p_name) b from orders join part on p_partkey = (o_orderkey * 3 + 1) % (select count(*) from part)),
 s as (select id, poster, {sql.text_similarity("a", "b")} score from r join f using (d))
 select id, poster from s where score >= 0.6 qualify row_number() over (partition by id order by score desc, poster) = 1""")
-def posters(t: Tables) -> DataFrame:
+def best_posters(t: Tables) -> DataFrame:
     n = F.broadcast(t.part.agg(F.count("*").alias("_n")))  # one row
     dated = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")).crossJoin(n)
     name = t.part.select("p_partkey", F.lower("p_name").alias("title"))
     events = dated.join(name, F.col("p_partkey") == F.col("o_orderkey") % F.col("_n")).select(F.col("o_orderkey").alias("id"), "day", "title")
     facts = dated.join(name, F.col("p_partkey") == (F.col("o_orderkey") * 3 + 1) % F.col("_n")).select(F.col("o_orderkey").alias("poster"), "day", "title")
     return res.best_poster(events, facts)
+
+
+def _tokens(x: str) -> str:
+    return rf"list_distinct(list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-zа-я0-9$]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 and not regexp_matches(w, '^\d+$')))"
+
+
+def _enough(hits: str, size: str) -> str:
+    return f"({hits} >= 1 and ({size} <= 2 or {hits} >= 2 or {hits} >= 0.6 * {size}))"
+
+
+@query("e13_poster_binding", f"""
+with b as (
+  select o_orderkey k, o_custkey // 10 source, o_orderdate::date d, day(o_orderdate) dd, month(o_orderdate) mm, least(day(o_orderdate) + 5, day(last_day(o_orderdate::date))) de, p.p_name own, q.p_name other, c_mktsegment people, p.p_brand venue
+  from orders join part p on p.p_partkey = o_orderkey % (select count(*) from part) join part q on q.p_partkey = (o_orderkey * 3 + 1) % (select count(*) from part) join customer on c_custkey = o_custkey),
+e as (select source, k id, format('{{:02d}}-{{:02d}}', mm, dd) as key, {_tokens("own")} tl, {_tokens("people")} pl, {_tokens("venue")} vl, case when k % 9 = 0 then k + 1 else 0 end preferred, count(*) over (partition by source) events from b),
+f0 as (
+  select source, k + 1 as idx, k % 11 <> 4 and k % 13 <> 5 and k % 17 <> 3 and k % 60 + 50 >= 55 good, k % 60 + 50 confidence, case when k % 7 <> 0 then k % 100 end readability,
+    {_tokens("case when k % 3 = 0 then other else own end")} tl, case when k % 2 = 0 then {_tokens("people")} else [] end pl, case when k % 2 = 1 then lower(venue) else '' end venue, false main,
+    case k % 4 when 3 then [] when 2 then list_concat(list_transform(range(dd, de + 1), lambda x: format('{{:02d}}-{{:02d}}', mm, x)), case when de <= 12 then [format('{{:02d}}-{{:02d}}', de, dd)] else [] end) else [format('{{:02d}}-{{:02d}}', mm, dd)] end keys,
+    case when k % 4 = 3 then [(format('{{:02d}}-{{:02d}}', mm, dd), {_tokens("own")}), (format('{{:02d}}-{{:02d}}', mm, dd % 28 + 1), {_tokens("other")})] else [] end cal from b
+  union all
+  select source, k + 10000001, true, 60 + k % 5, 60, {_tokens("own")}, {_tokens("people")}, '', k % 25 = 0, [format('{{:02d}}-{{:02d}}', mm, dd)], [] from b where k % 5 = 0),
+f as (select * from f0 where good),
+plain as (
+  select e.source, id, idx, main, preferred, confidence, coalesce(readability, 0) readability, len(e.tl) n, len(list_distinct(list_concat(e.tl, e.pl))) size,
+    len(list_intersect(e.tl, list_concat(f.tl, f.pl))) titles, len(list_intersect(e.pl, list_concat(f.tl, f.pl))) people, len(list_intersect(list_distinct(list_concat(e.tl, e.pl)), list_concat(f.tl, f.pl))) known,
+    len(list_filter(vl, lambda w: contains(f.venue, w))) venues, floor(confidence / 10 + 0.5) + floor(coalesce(readability, 65) / 20 + 0.5) quality
+  from e join f on e.source = f.source and list_contains(f.keys, e.key)),
+rows as (select source, id, unnest(cal) c, idx, main, confidence, coalesce(readability, 0) readability, e.key, tl, pl, preferred from (select source, idx, cal, main, confidence, readability from f) join (select source, id, key, tl, pl, preferred from e) e using (source)),
+lined as (
+  select source, id, idx, main, preferred, confidence, readability, len(tl) n, len(list_distinct(list_concat(tl, pl))) size, len(list_intersect(tl, c[2])) titles, len(list_intersect(list_distinct(list_concat(tl, pl)), c[2])) known from rows where c[1] = key),
+accepted as (
+  select source, id, idx, main, preferred, confidence, readability, titles, known,
+    (case when {_enough("titles", "n")} then 170 when known >= 2 then 145 else 130 end + titles * 22 + people * 12 + venues * 2 + quality)::int score,
+    case when {_enough("titles", "n")} then case when titles >= 2 then 'date+title-majority' else 'date+distinctive-title' end when known >= 2 then 'date+identity-tokens' else 'date+distinctive-identity' end reason
+  from plain where {_enough("titles", "n")} or known >= 2 or (known = 1 and size <= 2)
+  union all
+  select source, id, idx, main, preferred, confidence, readability, titles, known, (220 + 22 * known)::int, 'calendar-date+program' from lined where {_enough("titles", "n")} or known >= 2 or (known = 1 and size <= 2)),
+placed as (
+  select *, preferred = idx chosen, row_number() over w place, lead(main) over w main2, lead(titles) over w titles2, lead(known) over w known2, lead(score) over w score2
+  from accepted window w as (partition by source, id order by main desc, preferred = idx desc, score desc, confidence desc, readability desc, idx)),
+best as (
+  select source, id, arg_min(idx, place) idx, arg_min(reason, place) reason, arg_min(score, place) score,
+    bool_or(place = 1 and score2 is not null and not ((main and not main2) or chosen or titles > titles2 or known > known2 or score - score2 >= 18)) doubtful,
+    string_agg(idx || ':' || score, ',' order by place) filter (place <= 4) review
+  from placed group by all)
+select e.source, e.id, case when b.id is null or doubtful then 0 else idx end::bigint poster,
+  case when b.id is null then 'no_safe_poster' when doubtful then 'poster_review_required' when events > 1 then 'verified_multi_event_poster' else 'verified_single_event_source_media' end status,
+  case when b.id is null then 'no-safe-poster' when doubtful then 'multiple-date-compatible-posters' else b.reason end reason,
+  case when b.id is null then 0 else score end::int score, case when doubtful then review end review
+from e left join best b using (source, id)""")
+def poster_binding(t: Tables) -> DataFrame:
+    """Ten customers' orders are a post: each order an event and a picture (some none, some a calendar of two days), each fifth a second one."""
+    n = F.broadcast(t.part.agg(F.count("*").alias("_n")))  # one row
+    k, at = F.col("o_orderkey"), F.to_date("o_orderdate")
+    own = t.part.select(F.col("p_partkey").alias("_own"), F.col("p_name").alias("own"), F.col("p_brand").alias("brand"))
+    other = t.part.select(F.col("p_partkey").alias("_other"), F.col("p_name").alias("other"))
+    base = t.orders.crossJoin(n).join(own, F.col("_own") == k % F.col("_n")).join(other, F.col("_other") == (k * 3 + 1) % F.col("_n")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    base = base.select(F.expr("o_custkey div 10").alias("source"), k.alias("k"), at.alias("day"), "own", "other", F.col("c_mktsegment").alias("people"), "brand")
+    k, d, month = F.col("k"), F.dayofmonth("day"), F.date_format("day", "MMMM")
+    events = base.select("source", k.alias("id"), "day", F.col("own").alias("title"), F.col("people").alias("participants"), F.col("brand").alias("venue"), F.when(k % 9 == 0, k + 1).otherwise(0).alias("preferred"))
+    last = F.least(d + 5, F.dayofmonth(F.last_day("day")))
+    dates = F.when(k % 4 == 0, F.date_format("day", "dd.MM.yyyy")).when(k % 4 == 1, F.concat_ws(" ", d, month)).when(k % 4 == 2, F.concat(d, F.lit("-"), last, F.lit(" "), month)).otherwise("")
+    calendar = F.concat(F.lit("Афиша на "), month, F.lit("\n"), d, F.lit(" "), month, F.lit(" "), F.col("own"), F.lit("\n"), d % 28 + 1, F.lit(" "), month, F.lit(" "), F.col("other"))
+    facts = base.select(
+        "source", (k + 1).alias("index"), F.when(k % 13 != 5, k % 11 != 4).alias("poster"), F.when(k % 17 == 3, "photo").otherwise("poster").alias("image_type"),
+        (k % 60 + 50).alias("confidence"), F.when(k % 7 != 0, k % 100).alias("readability"), F.when(k % 3 == 0, F.col("other")).otherwise(F.col("own")).alias("title"), dates.alias("dates"),
+        F.when(k % 2 == 1, F.col("brand")).alias("venue"), F.when(k % 2 == 0, F.col("people")).alias("participants"), F.when(k % 4 == 3, calendar).alias("recognized"), F.lit(False).alias("main"), F.lit(False).alias("sole"),
+    )
+    again = base.where(k % 5 == 0).select(
+        "source", (k + 10000001).alias("index"), F.lit(True).alias("poster"), F.lit("poster").alias("image_type"), (k % 5 + 60).alias("confidence"), F.lit(60).cast("long").alias("readability"), F.col("own").alias("title"),
+        F.date_format("day", "dd.MM").alias("dates"), F.lit("").alias("venue"), F.col("people").alias("participants"), F.lit("").alias("recognized"), (k % 25 == 0).alias("main"), F.lit(False).alias("sole"),
+    )
+    bound = posters.bind_posters(events, facts.unionByName(again))
+    shown = F.array_join(F.transform("review", lambda r: F.concat_ws(":", r["index"], r["score"])), ",")
+    return bound.select("source", "id", F.col("poster").cast("long").alias("poster"), "status", "reason", "score", shown.alias("review"))
