@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,9 @@ from ..functions import time
 from ..functions.text import plain_name
 from ..operators import activity as act
 from ..operators import relations as rel
-from ..operators import rollup
+from ..operators import graph, rollup
 from ..sources.tables import MESSAGES_SQL, Tables
+from ..streaming import hierarchy
 from .registry import query
 
 #: The end of the event table's month, in epoch seconds; the window that the activity queries cover.
@@ -205,6 +209,43 @@ def weekly(t: Tables) -> DataFrame:
     return rollup.segments(rollup.daily(t.messages())).select("month_key", "segment_start", "segment_end", "n", F.round("v", 4).alias("v"), "days")
 
 
+def _hierarchy(t: Tables) -> str:
+    """The folder of a roll-up that the live feed came into on 18 January, and the rest, late or new, on 1 March."""
+    folder = f"{graph.shared(t.spark)}/hierarchy-{uuid.uuid4().hex}"
+    write = hierarchy.hierarchy_writer(folder, lambda number: date(2024, 3, 1) if number else date(2024, 1, 18))
+    write(t.live(), 0)
+    write(t.messages(), 1)
+    return folder
+
+
+def _level(name: str, source: str, period: str, opens: str, closes: str) -> str:
+    return f"""
+{name}0 as (select peer_id, {period} period, {opens} opens, case when step = 1 and {closes} < date '2024-01-18' then 1 else 2 end step, period source_period, revision source_revision, n, v from {source}),
+{name} as (select '{name}' as level, peer_id, period, opens, step, (row_number() over (partition by peer_id, period order by step))::int revision, sum(n)::bigint n, sum(v) v, count(*) sources from {name}0 group by peer_id, period, opens, step)"""
+
+
+HIERARCHY_SQL = f"""
+with s as (select user_id % 7 peer_id, event_id, value, ts + interval 3 hour as lt, extract(hour from ts + interval 3 hour) * 60 + extract(minute from ts + interval 3 hour) mod_ from events),
+batch as (
+  select 'batch' as level, peer_id, lt::date::varchar || ' ' || {SLOT_SQL} period, lt::date opens, case when event_id % 3 <> 0 then 1 else 2 end step,
+    (row_number() over (partition by peer_id, period order by case when event_id % 3 <> 0 then 1 else 2 end))::int revision, count(*) n, sum(value) v, count(*) sources
+  from s group by peer_id, period, opens, step, case when event_id % 3 <> 0 then 1 else 2 end),
+{_level("day", "batch", "opens::varchar", "opens", "opens")},
+{_level("segment", "day", "greatest(date_trunc('week', opens)::date, date_trunc('month', opens)::date)::varchar", "greatest(date_trunc('week', opens)::date, date_trunc('month', opens)::date)", "least(date_trunc('week', opens)::date + 6, last_day(opens))")},
+{_level("month", "segment", "strftime(opens, '%Y-%m')", "date_trunc('month', opens)::date", "last_day(opens)")}"""
+
+
+@query("z3_four_levels", f"{HIERARCHY_SQL} select level, peer_id, period, revision, n, round(v, 4) v, sources from (select * from batch union all select * from day union all select * from segment union all select * from month)")
+def four_levels(t: Tables) -> DataFrame:
+    return hierarchy.levels(t.spark, _hierarchy(t)).select("level", "peer_id", "period", "revision", "n", F.round("v", 4).alias("v"), "sources")
+
+
+@query("z4_edges", f"{HIERARCHY_SQL} " + " union all ".join(
+    f"select '{x}' as level, peer_id, period, revision, '{y}' source_level, source_period, source_revision from {x}0 join {x} using (peer_id, period, step)" for x, y in (("day", "batch"), ("segment", "day"), ("month", "segment"))))
+def promotion_edges(t: Tables) -> DataFrame:
+    return hierarchy.edges(t.spark, _hierarchy(t))
+
+
 @query("z4_promote_once", f"with {MESSAGES_SQL}, dd as (select sender_id peer_id, created_at // 86400 as day, count(*) n from messages group by all) select peer_id, day, n from dd where (peer_id + day) % 4 <> 0")
 def promote(t: Tables) -> DataFrame:
     days = t.messages().groupBy(F.col("sender_id").alias("peer_id"), F.floor(F.col("created_at") / 86400).alias("day")).agg(F.count("*").alias("n"))
