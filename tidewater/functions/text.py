@@ -162,7 +162,7 @@ def plain_name(name: Column, default: str = "?") -> Column:
 
 def _jaro(a: str, b: str) -> float:
     if a == b:
-        return 1.0
+        return float(bool(a))
     reach = max(0, max(len(a), len(b)) // 2 - 1)
     free, left = [True] * len(b), []
     for i, c in enumerate(a):

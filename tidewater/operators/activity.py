@@ -25,6 +25,25 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], keep: int = 1)
     return rows.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place")
 
 
+def listed(rows: DataFrame, keys: list[str], at: str, title: str, unique: str, collation: str = "ru") -> DataFrame:
+    """rows with `shown` (the time, 23:59 if unknown) and their place in each key's listing: by time, title under a collation, and the unique column."""
+    rows = rows.withColumn("shown", F.coalesce(at, F.lit("23:59")))
+    order = Window.partitionBy(*keys).orderBy("shown", F.collate(F.col(title), collation), unique)
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def dossiers(messages: DataFrame, most: int = 220, least: int = 6) -> DataFrame:
+    """(sender_id, messages, chats, last_at): how many of a person's newest messages count, and in how many chats they stand.
+
+    messages: sender_id, chat_id, created_at, cmid, text, outgoing, action. Only text of so many characters counts, neither sent by the
+    archive's owner nor an action of the chat; the bound on the newest ones is the feature's own. Rows leave their partition only if
+    they are among its newest, so a person with a third of all messages costs no more than others.
+    """
+    said = (F.length(F.trim("text")) >= least) & ~F.coalesce("outgoing", F.lit(False)) & (F.coalesce("action", F.lit("")) == "")
+    newest = latest(messages.where(said & F.col("sender_id").isNotNull()), ["sender_id"], [F.desc("created_at"), F.desc("cmid")], most)
+    return newest.groupBy("sender_id").agg(F.count("*").alias("messages"), F.countDistinct("chat_id").alias("chats"), F.max("created_at").alias("last_at"))
+
+
 def inactive(messages: DataFrame, membership: DataFrame, names: DataFrame, now: int, least: int = 16, days: int = 14) -> DataFrame:
     """Named participants with enough messages, silent for so many days, who have not left.
 

@@ -140,15 +140,49 @@ def names_term(text: Column, term: str, prefix: bool = False) -> Column:
     return F.coalesce(text.rlike(rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_]){escaped}{ending}{close}"), F.lit(False))
 
 
+def _variants(word: str) -> list[str]:
+    """A word, a long verb without its infinitive's ending, a long name without its case's, and both spellings of the one nickname."""
+    # The endings that are taken off, and the nickname.
+    bare = [word]
+    if len(word) >= 5 and len(stem := re.sub(r"(?i)(?:ться|тись|ть|ти)$", "", word)) >= 4:
+        bare.append(stem)
+    if len(word) >= 7 and len(stem := re.sub(r"(?i)(?:ами|ями|ом|ем|а|я|у|ю|е|и|ы)$", "", word)) >= 6:
+        bare.append(stem)
+    nick = re.compile(r"(?i)(владисл)[еэ](йв)")
+    return bare + [nick.sub(rf"\1{x}\2", w) for w in bare if nick.search(w) for x in "эе"]
+
+
+def _terms(words: list[str], most: int) -> list[str]:
+    """The first of each spelling, letters' case aside."""
+    found: dict[str, str] = {}
+    for w in words:
+        found.setdefault(w.lower(), w)
+    return [w for k, w in found.items() if k][:most]
+
+
+def _words(text: str, least: int, stop: set[str], keep: str = "") -> list[str]:
+    clean = (re.sub(rf"[^\w{keep}]+", "", w) for w in text.split())
+    return [w for w in clean if len(w) >= least and w.lower() not in stop]
+
+
 def expanded(question: str, stop: set[str], most: int = 10) -> list[str]:
     """Search terms of a question, all of which are alternatives: itself, its words of 3 letters or more that are no stop words,
     and long words without an ending."""
-    whole = " ".join(question.split())
-    words = [w for w in re.split(r"[^\w]+", whole) if len(w) >= 3 and w.lower() not in stop]
-    # The endings that are taken off.
-    bare = [re.sub(r"(?:ами|ями|ом|ем|а|я|у|ю|е|и|ы)$", "", w) for w in words if len(w) >= 7]
-    terms = [whole, *(x for w in words for x in (w, *(b for b in bare if b != w and len(b) >= 6 and w.startswith(b))))]
-    return list(dict.fromkeys(t for t in terms if t))[:most]
+    return _terms([" ".join(question.split()), *(x for w in _words(question, 3, stop) for x in _variants(w))], most)
+
+
+def alternatives(question: str, stop: set[str], most: int = 24) -> list[str]:
+    """Terms of a question that names several things: each part between или, либо and и, of 4 letters or more, with its variants."""
+    parts = [re.sub(r"[^\w-]+", "", p) for p in re.split(r"(?i)\s+(?:или|либо|и)\s+", " ".join(question.split()))]
+    return _terms([x for p in parts if len(p) >= 4 and p.lower() not in stop for x in _variants(p)], most)
+
+
+def clause_terms(clause: str, stop: set[str], most: int = 8) -> list[str]:
+    """Terms of a clause: its words without those that only tell the time or that one goes, unless it has no others."""
+    # Words that are left out.
+    weak = "сегодня завтра вчера сейчас идет идёт пойдет пойдёт будет".split()
+    words = _words(re.sub(r"[,:;!?()\[\]{}—–-]+", " ", clause), 3, stop)
+    return _terms([x for w in [w for w in words if w.lower() not in weak] or words for x in _variants(w)], most)
 
 
 def _holds(text: Column, compact: Column, alias: str) -> Column:

@@ -98,6 +98,17 @@ def reliability(t: Tables) -> DataFrame:
     return g.withColumn("reliability", F.round(rollup.wilson("k", "n"), 6))
 
 
+@query("a14_dossiers", f"""
+with {MESSAGES_SQL}, s as (select *, cmid % 5 chat_id from messages where length(kind) >= 5 and cmid % 6 <> 1 and kind <> 'signup'),
+n as (select * from s qualify row_number() over (partition by sender_id order by created_at desc, cmid desc) <= 220)
+select sender_id, count(*) messages, count(distinct chat_id) chats, max(created_at) last_at from n group by all
+""")
+def dossiers(t: Tables) -> DataFrame:
+    """Every sixth message is the owner's own, signups are actions, and a fifth of all messages are in each of five chats."""
+    said = t.messages().withColumns({"chat_id": F.col("cmid") % 5, "text": F.concat(F.lit(" "), "kind"), "outgoing": F.col("cmid") % 6 == 1, "action": F.when(F.col("kind") == "signup", "joined")})
+    return act.dossiers(said, least=5)
+
+
 @query("a16_content_hash", f"with {MESSAGES_SQL} select peer_id, count(*) n, sha256(string_agg(cmid || chr(1) || sender_id || chr(1) || created_at || chr(1) || kind || chr(10), '' order by cmid)) digest from messages group by all")
 def content_hash(t: Tables) -> DataFrame:
     line = F.concat(F.concat_ws("\u0001", F.col("cmid").cast("string"), F.col("sender_id").cast("string"), F.col("created_at").cast("string"), "kind"), F.lit("\n"))
@@ -279,6 +290,22 @@ def unknown_last(t: Tables) -> DataFrame:
     return t.messages().groupBy("sender_id").agg(minute.alias("first_minute"), F.coalesce(F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lit("23:59")).alias("shown")).orderBy("shown", "sender_id")
 
 
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдёфгхийклмнопярстувъыэз"
+
+
+@query("o5_collated_titles", f"""
+with r as (select p_partkey, p_partkey % 30 as day, case when p_size % 5 > 0 then lpad((p_size % 24)::varchar, 2, '0') || ':00' end clock,
+  case p_partkey % 4 when 0 then p_name when 1 then upper(p_name) when 2 then translate(p_name, '{LATIN}', '{CYRILLIC}') else upper(translate(p_name, '{LATIN}', '{CYRILLIC}')) end title from part)
+select p_partkey, day, coalesce(clock, '23:59') shown, title, row_number() over (partition by day order by coalesce(clock, '23:59'), title collate ru, p_partkey)::int place from r""")
+def collated(t: Tables) -> DataFrame:
+    """A day's listing in the order of the hour, unknown ones last, and then of the title as Russian readers sort it: ё beside е, small letters first."""
+    key, other = F.col("p_partkey"), F.translate("p_name", LATIN, CYRILLIC)
+    title = F.when(key % 4 == 0, F.col("p_name")).when(key % 4 == 1, F.upper("p_name")).when(key % 4 == 2, other).otherwise(F.upper(other))
+    hour = F.when(F.col("p_size") % 5 > 0, F.concat(F.lpad((F.col("p_size") % 24).cast("string"), 2, "0"), F.lit(":00")))
+    rows = t.part.select("p_partkey", (key % 30).alias("day"), hour.alias("at"), title.alias("title"))
+    return act.listed(rows, ["day"], "at", "title", "p_partkey").select("p_partkey", "day", F.col("shown"), "title", "place")
+
+
 @query("r7_display_names", "select c_custkey, left(trim(regexp_replace(c_name || ' ' || c_mktsegment, '[\\[\\]|<>*_`@]+', ' ', 'g')), 60) shown from customer")
 def display(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", plain_name(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("shown"))

@@ -122,9 +122,16 @@ def title_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(F.array_sort(found), " ").alias("tokens"))
 
 
-@query("x5_transliteration", "select conv_id, turn, 'shchukazhaba ' || turn latin from conversations")
+LETTERS, READ = "abcdefghijklmnopqrstuvwxyz", "абцдёфгхийжлмнощчрстуюьшыэ"
+LATIN_SQL = f"translate(translate(lower(text), '{LETTERS}', '{READ}'), 'абвгдеёзийклмнопрстуфыэ', 'abvgdeezijklmnoprstufye')"
+for _a, _b in (("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ь", ""), ("ю", "yu")):
+    LATIN_SQL = f"replace({LATIN_SQL}, '{_a}', '{_b}')"
+
+
+@query("x5_transliteration", f"select conv_id, turn, {LATIN_SQL} latin from conversations")
 def transliteration(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", tx.translit(F.concat(F.lit("ЩукаЖаба "), F.col("turn").cast("string"))).alias("latin"))
+    """Every turn, with its letters read as Cyrillic ones, and then as Latin ones again."""
+    return t.conversations.select("conv_id", "turn", tx.translit(F.translate(F.lower("text"), LETTERS, READ)).alias("latin"))
 
 
 @query("x19_word_with_endings", r"select conv_id, turn from conversations where regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])the(?:а|я|у|ю|е|и|ы|ой|ом|ем|ов|ев|ам|ям|ами|ями|ах|ях)?(?:$|[^\p{L}\p{N}_])') or regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])tion')")
