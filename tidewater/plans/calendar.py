@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, time
+from ..functions import mentions as places
 from ..operators import periods
 from ..sources.tables import Tables
 from .registry import query
@@ -61,6 +62,33 @@ def date_mentions(t: Tables) -> DataFrame:
     return t.orders.select(key.alias("k"), F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("days"))
 
 
+@query("d8_mention_places", f"""
+with r as (select o_orderkey k, o_orderdate::date d, day(o_orderdate)::int dd, month(o_orderdate)::int mm, year(o_orderdate)::int yy, {_RU}[month(o_orderdate)] ru, {_EN}[month(o_orderdate)] en from orders),
+m as (
+  select k, 'absolute' kind, 29 as pos, 10 length, dd, mm, yy, strftime(d, '%d.%m.%Y') raw from r where k % 4 = 0
+  union all select k, 'range-start', 10, 2, 20, mm, null, '20' from r where k % 4 = 1
+  union all select k, 'absolute', 13, 3 + length(ru), 22, mm, null, '22 ' || ru from r where k % 4 = 1
+  union all select k, 'range-end', 13, 2, 22, mm, null, '20–22 ' || ru from r where k % 4 = 1
+  union all select k, 'absolute', 20, length(dd || ' ' || ru || ' ' || yy), dd, mm, yy, dd || ' ' || ru || ' ' || yy from r where k % 4 = 2
+  union all select k, 'range-start', 9, length(en || ' 5-7, ' || yy), 5, mm, yy, en || ' 5-7, ' || yy from r where k % 4 = 3
+  union all select k, 'range-end', 12 + length(en), 1, 7, mm, yy, en || ' 5-7, ' || yy from r where k % 4 = 3)
+select m.k, kind, pos::int at_, length::int length, raw,
+  case when yy is not null then strftime(make_date(yy, mm, m.dd), '%Y-%m-%d') else strftime(make_date(year(d) + (d - make_date(year(d), mm, m.dd) > 183)::int, mm, m.dd), '%Y-%m-%d') end as day from m join (select k, d from r) using (k)""")
+def mention_places(t: Tables) -> DataFrame:
+    """Where orders' texts name their dates, beside a telephone number, a street, and with ranges in two languages."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    name = lambda names: F.element_at(F.array(*map(F.lit, names)), F.month(day))
+    d, y = F.dayofmonth(day).cast("string"), F.year(day).cast("string")
+    text = (
+        F.when(key % 4 == 0, F.concat(F.lit("call +7 (900) 12.03.44 until "), F.date_format(day, "dd.MM.yyyy"), F.lit(" at 19:00")))
+        .when(key % 4 == 1, F.concat(F.lit("Фестиваль 20–22 "), name(dates.MONTHS)))
+        .when(key % 4 == 2, F.concat(F.lit("ул. 9 Января, 100 — "), d, F.lit(" "), name(dates.MONTHS), F.lit(" "), y))
+        .otherwise(F.concat(F.lit("Shows on "), name(dates.ENGLISH), F.lit(" 5-7, "), y))
+    )
+    rows = t.orders.select(key.alias("k"), day.alias("_day"), F.explode(places.mention_places(text)).alias("m"))
+    return rows.select("k", "m.kind", F.col("m.at").alias("at_"), "m.length", "m.raw", places.resolved(F.col("m"), F.col("_day")).cast("string").alias("day"))
+
+
 #: Phrases, and what they mean on 14 May 1997, a Wednesday.
 PHRASES = [
     ("что сегодня", "today", "1997-05-14", "1997-05-14"),
