@@ -135,3 +135,18 @@ def test_channel_pages(spark):
     page = '<div data-post="C/1"><div class="message_text">a<br/>b &amp; <b>c</b></div><time>0:10</time><time datetime="2024-01-01T00:00:00+00:00"></time><img src="x"/></div><div data-post="C/1"><div class="message_text">again</div></div><div data-post="D/2"></div>'
     got = html.channel_posts(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"), "c").collect()
     assert [tuple(r) for r in got] == [(1, 1, 0, "again", 0)]
+
+
+def test_later_fields_win_and_known_hashes_are_skipped(spark):
+    from tidewater.operators import relations as rel
+
+    kind = "k int, a string, at int"
+    old, new = spark.createDataFrame([(1, "x", 5), (2, "y", 5), (None, "z", 1)], kind), spark.createDataFrame([(2, None, 3), (3, "w", None), (None, "v", 9)], kind)
+    got = {r["k"]: (r["a"], r["at"]) for r in rel.upsert_last(old, new, ["k"], ["at"]).collect()}
+    assert got == {1: ("x", 5), 2: (None, 5), 3: ("w", None), None: ("v", 9)}
+    assert rel.upsert_last(old.limit(0), new, ["k"], ["at"]).count() == 3 and rel.upsert_last(old, new.limit(0), ["k"]).count() == 3
+
+    rows = spark.createDataFrame([(1, "n1", "o1"), (2, "n2", "o2"), (3, "n3", "o3"), (4, "n4", "o4"), (5, None, None), (None, "n", "o")], "k int, now string, old string")
+    known = spark.createDataFrame([(1, "n1"), (2, "o2"), (3, "n1"), (5, ""), (6, "n6"), (None, "n")], "k int, hash string")
+    assert sorted(str(r["k"]) for r in rel.changed(rows, known, ["k"], ["now", "old"]).collect()) == ["3", "4", "5", "None"]
+    assert rel.changed(rows, known.limit(0), ["k"], ["now"]).count() == 6 and rel.changed(rows.limit(0), known, ["k"], ["now"]).count() == 0

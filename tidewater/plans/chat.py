@@ -182,6 +182,25 @@ def newest_wins(t: Tables) -> DataFrame:
     return rel.upsert_newest(t.archive().select(cols), t.live().select(cols), ["sender_id", "kind"], "created_at")
 
 
+@query("k1_upsert", "with a as (select * from orders where o_orderkey % 10 <> 7), b as (select o_orderkey, case when o_orderkey % 4 > 0 then 'new ' || o_orderstatus end s, o_totalprice - 1000 * (o_orderkey % 2 - 0.5) p from orders where o_orderkey % 10 <> 3) select coalesce(a.o_orderkey, b.o_orderkey) o_orderkey, case when b.o_orderkey is null then o_orderstatus else s end o_orderstatus, round(greatest(o_totalprice, p), 2) o_totalprice from a full join b on a.o_orderkey = b.o_orderkey")
+def upsert(t: Tables) -> DataFrame:
+    """Orders written over by nine tenths of them, with another status, at times none, and the greater of two prices."""
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    key = F.col("o_orderkey")
+    later = t.orders.where("o_orderkey % 10 <> 3").select("o_orderkey", F.when(key % 4 > 0, F.concat(F.lit("new "), "o_orderstatus")).alias("o_orderstatus"), (F.col("o_totalprice") - 1000 * (key % 2 - 0.5)).alias("o_totalprice"))
+    merged = rel.upsert_last(t.orders.where("o_orderkey % 10 <> 7").select(cols), later, ["o_orderkey"], ["o_totalprice"])
+    return merged.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("z9_incremental_skip", "with h as (select doc_id, sha256('v2:' || text) now, sha256(text) old from documents), k as (select doc_id, case doc_id % 5 when 0 then now when 1 then old when 2 then '' when 3 then 'other' end hash from h where doc_id % 7 > 0) select doc_id from h left join k using (doc_id) where not coalesce(hash = now or hash = old, false)")
+def incremental(t: Tables) -> DataFrame:
+    """Documents to read again: two fifths of six sevenths are known, by the current form of hash or the one before."""
+    rows = t.documents.select("doc_id", F.sha2(F.concat(F.lit("v2:"), "text"), 256).alias("now"), F.sha2("text", 256).alias("old"))
+    kind = F.col("doc_id") % 5
+    known = rows.where("doc_id % 7 > 0").select("doc_id", F.when(kind == 0, F.col("now")).when(kind == 1, F.col("old")).when(kind == 2, "").when(kind == 3, "other").alias("hash"))
+    return rel.changed(rows, known, ["doc_id"], ["now", "old"]).select("doc_id")
+
+
 @query("k2_insert_absent", f"with {MESSAGES_SQL} select cmid, kind from archive union all select cmid, kind from live where cmid not in (select cmid from archive)")
 def insert_absent(t: Tables) -> DataFrame:
     return rel.insert_absent(t.archive().select("cmid", "kind"), t.live().select("cmid", "kind"), ["cmid"])
