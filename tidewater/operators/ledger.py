@@ -26,7 +26,8 @@ def near_duplicates(current: DataFrame, seen: DataFrame, threshold: float = 0.97
 
     Both sides: id, source, item, url, text, attachments (array), observed (epoch seconds, 0 if unknown). From a threshold
     of 0.94 on the source must be the same, and so must the item, or the address, or (with equal attachments) the time to 5
-    minutes, since otherwise the parts cannot add up. So partners are met by three equi-joins, and nothing is left out.
+    minutes, since otherwise the parts cannot add up. So partners are met by three equi-joins, and nothing is left out. From 0.97 on, those
+    that only the time brings together need texts with all trigrams in common, and these are a key, too.
     Ties go to the smaller seen_id; null texts are empty.
     """
     if threshold <= TEXT + REST * 0.6:
@@ -37,12 +38,15 @@ def near_duplicates(current: DataFrame, seen: DataFrame, threshold: float = 0.97
     ]
     x, y = rows[0].alias("x"), rows[1].alias("y")
     slot = F.floor(F.col("observed") / 300)
-    timed = rows[0].where("observed > 0").withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("x"), rows[1].where("observed > 0").withColumn("slot", slot).alias("y")
+    # Without item and url the rest is 0.8 at most; two texts of unlike trigrams are never that near 1.
+    equal = threshold >= TEXT + REST * 0.8 - 1e-12
+    told = [r.where("observed > 0").withColumn("grams", F.xxhash64(F.array_sort(tx.grams(F.col("text")))) if equal else F.lit(0).cast("long")) for r in rows]
+    timed = told[0].withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("x"), told[1].withColumn("slot", slot).alias("y")
     same = F.col("x.source") == F.col("y.source")
     arms = [
         x.join(y, same & (F.col("x.item") == F.col("y.item"))),
         x.join(y, same & (F.col("x.url") == F.col("y.url")) & (F.col("x.url") != "")),
-        timed[0].join(timed[1], same & (F.col("x.slot") == F.col("y.slot")) & (F.abs(F.col("x.observed") - F.col("y.observed")) <= 300)),
+        timed[0].join(timed[1], same & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.grams") == F.col("y.grams")) & (F.abs(F.col("x.observed") - F.col("y.observed")) <= 300)),
     ]
     both = reduce(DataFrame.unionByName, (a.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")) for a in arms)).distinct()
     joined = both.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
