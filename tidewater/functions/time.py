@@ -84,8 +84,10 @@ def minutes(slots: list[str]) -> list[int]:
 def next_slot(after: Column, slots: list[str], zone: str = ZONE) -> Column:
     """The first slot (epoch seconds) later than an instant, within three days."""
     day = local_date(after, zone)
-    each = F.array(*(instant(F.date_add(day, n), F.lit(m), zone) for n in range(4) for m in minutes(slots)))
-    return F.array_min(F.filter(each, lambda x: x > after))
+    each = [[instant(F.date_add(day, n), F.lit(m), zone) for m in minutes(slots)] for n in range(4)]
+    first = lambda instants: F.least(*(F.when(x > after, x) for x in [*instants, F.lit(None).cast("long"), F.lit(None).cast("long")]))
+    # Of two days, as a gap of the clocks may put an evening's slot after the next morning's; the days behind them are seldom asked.
+    return F.coalesce(first(each[0] + each[1]), first(each[2] + each[3]))
 
 
 def _slots_until(at: Column, slots: list[str], zone: str) -> Column:
