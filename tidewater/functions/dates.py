@@ -26,10 +26,7 @@ MONTH_FIRST = rf"(?i)(?<![\d\p{{L}}])({_EN})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:
 
 
 def _number(month: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for name, n in (MONTHS | ENGLISH).items():
-        out = F.when(F.lower(month) == name, n).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in (MONTHS | ENGLISH).items() for x in pair)), F.lower(month))
 
 
 def _date(day: Column, month: Column, year: Column, reference: Column) -> Column:
@@ -51,11 +48,13 @@ def mentions(text: Column, reference: Column) -> Column:
     hit = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     part = lambda x, p, i: F.regexp_extract(x, p, i)
     # Inside a match alone the guards hold, so parts are read with the same pattern.
-    numeric = F.transform(hit(NUMERIC), lambda x: _date(part(x, NUMERIC, 1), part(x, NUMERIC, 2), part(x, NUMERIC, 3), reference))
-    of = lambda x, i: _date(part(x, NAMED, i), _number(part(x, NAMED, 3)).cast("string"), part(x, NAMED, 4), reference)
-    named = F.flatten(F.transform(hit(NAMED), lambda x: F.array(of(x, 1), of(x, 2))))
-    turned = lambda x, i: _date(part(x, MONTH_FIRST, i), _number(part(x, MONTH_FIRST, 1)).cast("string"), part(x, MONTH_FIRST, 4), reference)
-    named = F.concat(named, F.flatten(F.transform(hit(MONTH_FIRST), lambda x: F.array(turned(x, 2), turned(x, 3)))))
+    # They are bound to names once a match.
+    parts = lambda p, n: F.transform(hit(p), lambda x: F.struct(*(part(x, p, i).alias(f"g{i}") for i in range(1, n + 1))))
+    numbered = lambda p, month: F.transform(parts(p, 4), lambda x: F.struct(*(x[f"g{i}"].alias(f"g{i}") for i in range(1, 5)), _number(x[month]).cast("string").alias("month")))
+    numeric = F.transform(parts(NUMERIC, 3), lambda x: _date(x["g1"], x["g2"], x["g3"], reference))
+    of = lambda x, i: _date(x[i], x["month"], x["g4"], reference)
+    named = F.flatten(F.transform(numbered(NAMED, "g3"), lambda x: F.array(of(x, "g1"), of(x, "g2"))))
+    named = F.concat(named, F.flatten(F.transform(numbered(MONTH_FIRST, "g1"), lambda x: F.array(of(x, "g2"), of(x, "g3")))))
     low = F.lower(text)
     near = F.array(*(F.when(low.rlike(rf"(?<!\p{{L}}){w}(?!\p{{L}})"), F.date_add(reference, n)) for w, n in (("сегодня", 0), ("today", 0), ("завтра", 1), ("tomorrow", 1))))
     found = F.concat(*(F.coalesce(x, F.array().cast("array<date>")) for x in (numeric, named, near)))
