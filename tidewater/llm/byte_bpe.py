@@ -54,9 +54,11 @@ class Encoder(dict):
         self.pattern = own_pattern(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.texts = {str(rank): token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.latin = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+        for token, rank in self.latin.items():
+            self.automaton.add_word(token, rank)
         self.widest = max(map(len, ranks), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
@@ -115,32 +117,39 @@ class Encoder(dict):
         return good
 
     def piece(self, body: bytes) -> list[int]:
-        if body in self.ranks:
-            return [self.ranks[body]]
-        latin = body.decode("latin-1")
-        alive = bytearray(b"\x01") * (len(body) + 1)
+        if (whole := self.ranks.get(body)) is not None:
+            return [whole]
+        latin, size = body.decode("latin-1"), len(body)
+        longest, known, sizes = self.longest, self.pairs.get, self.sizes
+        dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, self.longest(latin, 0)
-        while at < len(body):
-            end = at + len(self.tokens[token])
-            if alive[end] and (not out or self.compatible(out[-1], token)):
+        at, token = 0, longest(latin, 0)
+        while at < size:
+            end = at + sizes[token]
+            if end in dead:
+                good = False
+            elif not out:
+                good = True
+            elif (good := known((out[-1], token))) is None:
+                good = self.compatible(out[-1], token)
+            if good:
                 out.append(token)
                 at = end
-                if at < len(body):
-                    token = self.longest(latin, at)
+                if at < size:
+                    token = longest(latin, at)
             elif (less := self.prefix(token)) is not None:
                 token = less
             else:
-                alive[at] = 0
+                dead.add(at)
                 token = out.pop()
-                at -= len(self.tokens[token])
+                at -= sizes[token]
         return out
 
     def longest(self, latin: str, at: int) -> int:
         """The longest token at a position: the automaton's deepest path, cut back to a token."""
         ahead = latin[at : at + self.widest]
         n = self.automaton.longest_prefix(ahead)
-        while (token := self.automaton.get(ahead[:n], -1)) < 0:
+        while (token := self.latin.get(ahead[:n])) is None:
             n -= 1
         return token
 
@@ -235,7 +244,8 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, *columns: str) -> DataFrame:
     """Per document: dk, the named columns, n_tokens, and SHA-256 of its ids and of the decoded bytes.
 
-    Encodes and decodes in the same task, so that no ids travel back to the JVM.
+    Encodes and decodes in the same task, so that no ids travel back to the JVM. What is memoised, which is bounded, serves a
+    worker's next tasks as well, as no stage follows.
     """
     held = _vocabulary(docs.sparkSession, path)
 
@@ -253,7 +263,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
                 [*(batch.column(n) for n in rest), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                 [*rest, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        encoder.forget()
 
     rows = keyed(docs, *columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
