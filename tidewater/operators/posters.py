@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from . import graph
 
 #: Words for months, by number.
 MONTH_WORDS = {
@@ -47,24 +48,27 @@ def _month(word: Column) -> Column:
 
 def _key(day: Column, month: Column) -> Column:
     day, month = day.try_cast("int"), month.try_cast("int")
-    return F.when(day.between(1, 31) & month.between(1, 12), F.format_string("%02d-%02d", month, day))
+    return F.when(day.between(1, 31) & month.between(1, 12), F.concat(F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")))
 
 
 def date_keys(text: Column) -> Column:
     """Distinct days (MM-dd) that a folded text names: 5.03, 05/03/24, 5 марта, 5 mar; of a range with one month (5-7 марта) all days."""
     hits = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    numeric = F.transform(hits(NUMERIC), lambda x: _key(F.split(x, "[./-]")[0], F.split(x, "[./-]")[1]))
+    # The parts of a hit first, as what is made of them names them several times.
+    parts = F.transform(hits(NUMERIC), lambda x: F.split(x, "[./-]"))
+    numeric = F.transform(F.transform(parts, lambda x: F.struct(x[0].try_cast("int").alias("d"), x[1].try_cast("int").alias("m"))), lambda x: _key(x["d"], x["m"]))
     word = lambda x: _month(F.regexp_extract(x, r"(\p{L}+)$", 1))
-    named = F.transform(hits(NAMED), lambda x: _key(F.regexp_extract(x, r"^\d+", 0), word(x)))
+    first = lambda x: F.regexp_extract(x, r"^\d+", 0).try_cast("int").alias("first")
+    named = F.transform(F.transform(hits(NAMED), lambda x: F.struct(first(x), word(x).alias("m"))), lambda x: _key(x["first"], x["m"]))
+    spans = F.transform(hits(RANGE), lambda x: F.struct(first(x), F.regexp_extract(x, r"(\d+)\s+\p{L}+$", 1).cast("int").alias("last"), word(x).alias("m")))
 
     def all_days(x: Column) -> Column:
-        first, last = F.regexp_extract(x, r"^\d+", 0).cast("int"), F.regexp_extract(x, r"(\d+)\s+\p{L}+$", 1).cast("int")
-        ok = (first >= 1) & (last <= 31) & (first <= last)
-        days = F.sequence(F.when(ok, first).otherwise(1), F.when(ok, last).otherwise(1))
-        last_day = F.dayofmonth(F.last_day(F.make_date(F.lit(2000), word(x), F.lit(1))))  # a leap year
-        return F.transform(days, lambda d: F.when(ok & (d <= last_day), _key(d, word(x))))
+        ok = (x["first"] >= 1) & (x["last"] <= 31) & (x["first"] <= x["last"])
+        days = F.sequence(F.when(ok, x["first"]).otherwise(1), F.when(ok, x["last"]).otherwise(1))
+        last_day = F.dayofmonth(F.last_day(F.make_date(F.lit(2000), x["m"], F.lit(1))))  # a leap year
+        return F.transform(days, lambda d: F.when(ok & (d <= last_day), _key(d, x["m"])))
 
-    ranges = F.flatten(F.transform(hits(RANGE), all_days))
+    ranges = F.flatten(F.transform(spans, all_days))
     return F.coalesce(F.array_distinct(F.array_compact(F.concat(numeric, named, ranges))), F.array().cast("array<string>"))
 
 
@@ -87,14 +91,18 @@ def read_facts(facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("_sections", F.when(F.col("_month").isNotNull(), sections).otherwise(F.array().cast("array<string>")))
 
     day_of = lambda s: _key(F.regexp_extract(s, r"^[ \t]*(\d+)", 1), F.col("_month"))
-    lines = F.flatten(F.transform("_sections", lambda s: F.transform(identity_words(s), lambda w: F.struct(day_of(s).alias("key"), w.alias("word")))))
+    # Columns of their own for what is used more than once: in a function of arrays it would be worked out for each element.
+    rows = rows.withColumns({
+        "_lines": F.transform("_sections", lambda s: F.struct(day_of(s).alias("key"), identity_words(s).alias("words"))),
+        "_scalar": date_keys(F.col("_dates")), "_all": date_keys(F.concat_ws("\n", "_dates", "_seen")),
+        "_title": identity_words(F.col("title")), "_people": identity_words(F.col("participants")),
+    })
+    lines = F.flatten(F.transform("_lines", lambda s: F.transform(s["words"], lambda w: F.struct(s["key"].alias("key"), w.alias("word")))))
     headed = F.size("_sections") > 0
-    listed, scalar = F.transform("_sections", day_of), date_keys(F.col("_dates"))
-    all_keys = date_keys(F.concat_ws("\n", "_dates", "_seen"))
-    of_month = F.filter(all_keys, lambda k: F.col("_month").isNull() | (F.substring(k, 1, 2).cast("int") == F.col("_month")))
+    listed, scalar = F.col("_lines.key"), F.col("_scalar")
+    of_month = F.filter("_all", lambda k: F.col("_month").isNull() | (F.substring(k, 1, 2).cast("int") == F.col("_month")))
     keys = F.when(headed, F.when(F.size(scalar) == 1, F.array_intersect(F.array_intersect(of_month, scalar), listed)).otherwise(F.array().cast("array<string>"))).otherwise(of_month)
-    title, people = identity_words(F.col("title")), identity_words(F.col("participants"))
-    words = F.transform(F.array_union(title, people), lambda w: F.struct(w.alias("word"), F.array_contains(title, w).alias("in_title")))
+    words = F.transform(F.array_union("_title", "_people"), lambda w: F.struct(w.alias("word"), F.array_contains("_title", w).alias("in_title")))
     confidence, readability = F.coalesce(F.col("confidence"), F.lit(70)), F.coalesce(F.col("readability"), F.lit(65))
     return rows.select(
         "source", "fact", "index", keys.alias("keys"), words.alias("words"), F.array_distinct(lines).alias("calendar"), headed.alias("headed"), F.col("_month").alias("month"),
@@ -116,8 +124,8 @@ def candidates(events: DataFrame, posters: DataFrame) -> DataFrame:
     Events and posters meet on source, day and a word in one equi-join, so no pair is made that shares no word; the pair's
     counts are summed before the shuffle, and only what is accepted meets its rows again.
     """
-    title, people = identity_words(F.col("title")), identity_words(F.col("participants"))
-    wide = events.select(
+    title, people = F.col("_title"), F.col("_people")
+    wide = events.withColumns({"_title": identity_words(F.col("title")), "_people": identity_words(F.col("participants"))}).select(
         "source", "id", "preferred", "only_one", F.date_format("day", "MM-dd").alias("key"), F.month("day").alias("in_month"), identity_words(F.col("venue")).alias("places"),
         F.size(title).alias("title_size"), F.size(F.array_union(title, people)).alias("size"),
         F.transform(F.array_union(title, people), lambda w: F.struct(w.alias("word"), F.array_contains(title, w).alias("t"), F.array_contains(people, w).alias("p"))).alias("words"),
@@ -181,7 +189,8 @@ def bind_posters(events: DataFrame, facts: DataFrame) -> DataFrame:
     events = events.join(posts.join(shown, "source", "left"), "source", "left")
     events = events.withColumn("only_one", (F.col("_events") == 1) & (F.col("_facts") == 1))
 
-    found = candidates(events, read_facts(facts)).withColumn("chosen", (F.col("preferred") > 0) & (F.col("preferred") == F.col("index")))
+    # Cut here, as texts are read by many patterns, and what is read is asked for three times.
+    found = candidates(graph.cut(events), graph.cut(read_facts(facts))).withColumn("chosen", (F.col("preferred") > 0) & (F.col("preferred") == F.col("index")))
     order = [F.desc("main"), F.desc("chosen"), F.desc("score"), F.desc("confidence"), F.desc("readability"), F.asc("index"), F.asc("fact")]
     place = F.row_number().over(Window.partitionBy("source", "id").orderBy(*order))
     few = found.withColumn("place", place).where(F.col("place") <= SHOWN)
